@@ -66,4 +66,6 @@ def open_files(path: str):
     """A pyarrow file system and the path within it, for a URI of any store that pyarrow knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, token_store
+from . import line_dedup, mixing, packing, quality, token_store, warc
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer files lie; the operators take any path."""
     import public_tokenizers
@@ -42,6 +47,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op10_quality_cascade": op10_quality_cascade,
@@ -50,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op10_quality_cascade": quality.ORACLE,
 }
