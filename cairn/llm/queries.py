@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, token_store, warc
+from . import extraction, line_dedup, mixing, ogg, packing, quality, token_store, warc
 from .common import table
 
 
@@ -29,6 +29,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.measure(ogg.store_media(table(spark, sf_dir, "documents")))
+
+
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer files lie; the operators take any path."""
     import public_tokenizers
@@ -48,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
+    "op5_ogg": op5_ogg,
+    "op6_extraction": op6_extraction,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op10_quality_cascade": op10_quality_cascade,
