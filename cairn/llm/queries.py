@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, line_dedup, mixing, ogg, packing, quality, token_store, warc
+from . import bagminhash, extraction, line_dedup, mixing, ogg, packing, quality, token_store, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_extraction": op6_extraction,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
+    "op9_bagminhash": op9_bagminhash,
     "op10_quality_cascade": op10_quality_cascade,
 }
 
