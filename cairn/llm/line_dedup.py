@@ -66,6 +66,21 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
     return joined.withColumns(out).drop(*names.values())
 
 
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, length: str | None = None) -> DataFrame:
+    """docs with the columns they have and boilerplate cut from text; length names a column of text lengths."""
+    out = dedup_lines(docs, doc_id, text, site, min_sites)
+    if length in docs.columns:
+        out = out.withColumn(length, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    if {"n_lines", "n_removed"} & {c.lower() for c in docs.columns}:
+        whole = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(site).alias("_site"))
+        out = dedup_lines(whole, "_id", "_text", "_site", min_sites)
+        new = F.col("_row").withField(text, F.col("_text"))
+        if length in docs.columns:
+            new = new.withField(length, F.when(F.col("n_removed") > 0, F.length("_text").cast(docs.schema[length].dataType)).otherwise(F.col(f"_row.{length}")))
+        return out.select(new.alias("_row")).select("_row.*")
+    return out.select(*docs.columns)
+
+
 ORACLE = r"""
 WITH l AS (
   SELECT doc_id, text, source, pos, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line, x
