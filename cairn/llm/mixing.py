@@ -50,8 +50,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
         "capped": F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
         "open_w": F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)),
     }).withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open_w"))
+    # Levels fall once enough sources are capped: the first open source has the highest of the open levels.
     per = per.withColumn("is_open", F.col("level") * F.col("w") <= F.col("cap"))
-    level = F.min(F.when(F.col("is_open"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("is_open"), F.col("level"))).over(everything)
     return per.withColumn("at", level).select(
         "source", "source_size", F.when(F.col("at").isNull() | (F.col("at") * F.col("w") >= F.col("cap")), F.col("cap")).otherwise(F.col("at") * F.col("w")).alias("target")
     )
@@ -143,7 +144,7 @@ q AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM p),
-r AS (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS open_level FROM q),
+r AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS open_level FROM q),
 t AS (SELECT source, source_size, CASE WHEN open_level IS NULL OR open_level * w >= cap THEN cap ELSE open_level * w END AS target FROM r),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 s AS (
