@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, remove_tree
+from .common import cut, fresh_path, remove_tree
 from .encoding import encoder, small_batches, with_end
 
 END_ID = 2
@@ -35,6 +35,9 @@ ROLL = 16
 #: Hashes of stored chunks that a task remembers; beyond them copies go when the tasks' chunks are merged.
 REMEMBERED = 500_000
 
+#: Copies of chunks between tasks up to which their list (12 bytes each) is broadcast; beyond, chunks are shuffled.
+BROADCAST_EXTRA = 1_000_000
+
 
 def _gear(ids: np.ndarray) -> np.ndarray:
     """A fixed 64-bit value for each id."""
@@ -161,7 +164,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str, wide: bool =
     place = F.struct("task", F.col("n_tokens").alias("number"))  # of a chunk row, n_tokens is its number in the task
     owner = found.groupBy("hash").agg(F.min(place).alias("owner"), F.count("*").alias("n"))
     extra = found.select("hash", "task", "n_tokens").join(owner.where("n > 1"), "hash").where(place != F.col("owner")).select("task", "n_tokens")
-    kept = found.join(extra, ["task", "n_tokens"], "left_anti").select("hash", "ids")
+    extra = cut(extra, "store-extra")
+    few = extra.limit(BROADCAST_EXTRA + 1).count() <= BROADCAST_EXTRA
+    kept = found.join(F.broadcast(extra) if few else extra, ["task", "n_tokens"], "left_anti").select("hash", "ids")
     kept.write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     recipes = raw.where("kind = 'r'").select("doc_id", "n_tokens", "root", "chunks")
