@@ -9,9 +9,9 @@ to a time by which all slots are filled, so large documents cost little more tha
 
 Groups: copies of a text are one row from the start. Bands of slots, drawn by a fixed rule, give keys.
 Members of a key are compared with the key's least member; links of 0.8 and more join groups; then, in keys
-that still hold more than one group, every pair of different groups is compared, in blocks of bounded
-size. A comparison first counts equal slots (one byte each) and then, if need be, the shingles themselves,
-so every reported link is exact. Groups are connected components, found with distributed joins.
+that still hold more than one group, members of different groups are compared in blocks of bounded size,
+where each link found joins groups and so spares comparisons; blocks give back links only. A comparison
+first counts equal slots (one byte each) and then, if need be, the shingles themselves, so every link is exact. Groups are connected components, found with distributed joins.
 
 Defined cases: null and empty texts are copies of each other and of no other text. Rows that repeat are
 copies. A null doc_id stays a row; a group's class_id is its least doc_id that isn't null. An empty table
@@ -41,7 +41,9 @@ ROWS = 8
 #: Pairs that agree in fewer slots than this share aren't verified: five standard deviations below 0.8.
 LEAST_AGREEMENT = 0.675
 #: Rows of a key that are compared in one task; larger keys are cut into blocks of this size.
-BLOCK = 1024
+BLOCK = 512
+#: Shingles that a block keeps in memory for its comparisons (16 bytes each).
+HELD_SHINGLES = 3_000_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -226,44 +228,94 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), "b")).distinct().withColumnsRenamed({"a": "uid", "b": "root"})
 
 
-def _open_pairs(batches):
-    """Pairs of different groups that agree in enough slots, from runs of rows sorted by key and block."""
-    held: list[pa.RecordBatch] = []
-
-    def close():
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        held.clear()
-        uid, root, own = (rows.column(c).to_numpy() for c in ("uid", "root", "own"))
-        one, two = (rows.column(c)[0].as_py() for c in ("one", "two"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(uid), -1)
-        right = np.flatnonzero(own == two)
-        found: list[tuple[int, int]] = []
-        for i in np.flatnonzero(own == one).tolist():
-            other = right[root[right] != root[i]]
-            if one == two:
-                other = other[uid[other] > uid[i]]
-            if len(other):
-                close_ = other[agreement(sig[other], sig[i]) >= LEAST_AGREEMENT]
-                found += [(max(uid[i], uid[j]), min(uid[i], uid[j])) for j in close_.tolist()]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+def _own_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    _, h, w = shingles(pa.array([text]))
+    return h, w
 
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
+
+def _overlap(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(one[1][i], two[1][j]).sum())
+    return both / max(int(one[1].sum() + two[1].sum()) - both, 1)
+
+
+def block_links(uid, root, own, sig, keys, texts, band, one: int, two: int, threshold: float):
+    """Links between different groups of a block; a link joins its groups, so pairs within one need no comparison.
+
+    A pair is compared in the first band alone that its members share.
+    """
+    group = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while group[r] != r:
+            group[r] = group[group[r]]
+            r = group[r]
+        return r
+
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def get(i: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal size
+        if i not in held:
+            if size > HELD_SHINGLES:
+                held.clear()
+                size = 0
+            held[i] = _own_shingles(texts[i])
+            size += len(held[i][0])
+        return held[i]
+
+    right = np.flatnonzero(own == two)
+    for i in np.flatnonzero(own == one).tolist():
+        other = right[uid[right] > uid[i]] if one == two else right
+        other = other[root[other] != root[i]]
+        if not len(other):
             continue
-        key, one, two = (batch.column(c).to_numpy() for c in ("key", "one", "two"))
-        new = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
-        cuts = [0, *new.tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            this = (key[a], one[a], two[a])
-            if this != last:
-                yield from close()
-                last = this
-            held.append(batch.slice(a, b - a))
-    yield from close()
+        other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
+        near = agreement(sig[other], sig[i]) if len(other) else np.zeros(0)
+        for j in other[np.argsort(-near)][: int((near >= LEAST_AGREEMENT).sum())].tolist():
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y and _overlap(get(i), get(j)) >= threshold:
+                group[max(x, y)] = min(x, y)
+                yield int(max(uid[i], uid[j])), int(min(uid[i], uid[j]))
+
+
+def _open_links(threshold: float):
+    """Links of different groups from rows sorted by key and block."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def close():
+            if not held:
+                return
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            uid, root, own = (rows.column(c).to_numpy() for c in ("uid", "root", "own"))
+            key, one, two = (rows.column(c)[0].as_py() for c in ("key", "one", "two"))
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(uid), -1)
+            keys = pc.list_flatten(rows.column("keys")).to_numpy().reshape(len(uid), -1)
+            band = int((keys[0] == key).argmax())
+            found = list(block_links(uid, root, own, sig, keys, rows.column("text").to_pylist(), band, one, two, threshold))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, one, two = (batch.column(c).to_numpy() for c in ("key", "one", "two"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+            cuts = [0, *new.tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                this = (key[a], one[a], two[a])
+                if this != last:
+                    yield from close()
+                    last = this
+                held.append(batch.slice(a, b - a))
+        yield from close()
+
+    return run
 
 
 def similar_groups(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -284,10 +336,10 @@ def similar_groups(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     member = member.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     member = member.withColumn("own", F.pmod(F.xxhash64("uid", "key"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "uid", "root").join(signed.select("uid", "sig"), "uid")
-    member = member.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two").select("key", "one", "two", "own", "uid", "root", "sig")
-    pairs = member.mapInArrow(_open_pairs, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(verify_pairs(pairs, signed, texts, threshold).select("a", "b"), "more-links")
+    member = member.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "uid", "root")
+    member = member.join(signed, "uid").join(texts.select("uid", "text"), "uid")
+    member = member.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two").select("key", "one", "two", "own", "uid", "root", "sig", "keys", "text")
+    more = cut(member.mapInArrow(_open_links(threshold), "a long, b long").distinct(), "more-links")
     if more.isEmpty():
         return groups
     # Groups are stars already: their edges and the new links give the final groups.
