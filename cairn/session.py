@@ -19,3 +19,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package wherever the driver was started.
+
+    On a cluster the package is installed or shipped (--py-files); the entry does no harm there.
+    """
+    import os
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
