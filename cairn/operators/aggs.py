@@ -162,9 +162,9 @@ def fingerprints(files: DataFrame, rules: DataFrame) -> DataFrame:
     over files. phase: 0 path, 1 manifest, 2 content (its first file only counts as evidence).
     """
     name = paths.base_name(F.col("path"))
-    path_hit = (F.col("phase") == 0) & (F.col("path").rlike(F.col("pattern")) | name.rlike(F.col("pattern")))
-    in_scope = F.col("scope").isNull() | name.rlike(F.col("scope"))
-    text_hit = (F.col("phase") > 0) & in_scope & F.col("text").rlike(F.col("pattern"))
+    path_hit = (F.col("phase") == 0) & (F.rlike(F.col("path"), F.col("pattern")) | F.rlike(name, F.col("pattern")))
+    in_scope = F.col("scope").isNull() | F.rlike(name, F.col("scope"))
+    text_hit = (F.col("phase") > 0) & in_scope & F.rlike(F.col("text"), F.col("pattern"))
     hits = files.join(F.broadcast(rules), path_hit | text_hit).groupBy("id", "rule_ord", "phase", "ord", "path").agg(F.lit(1))
     of_content = F.row_number().over(Window.partitionBy("id", "phase").orderBy("ord"))
     kept = hits.withColumn("_c", of_content).where("phase < 2 OR _c = 1").groupBy("id", "rule_ord", "path").agg(F.min("phase").alias("phase"), F.min(F.struct("phase", "ord")).alias("_o"), F.min("ord").alias("ord"))

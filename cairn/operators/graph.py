@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import cut_lineage
+
 DECAY = 0.5
 LEAST = 0.15
 SEEDS = 40
@@ -39,6 +41,7 @@ def ancestors(parents: DataFrame, depth: int = 16) -> DataFrame:
         up = parents.select(F.col("id").alias("ancestor"), F.col("parent").alias("_p"), F.col("ord").cast("long").alias("_o"))
         step = step.join(up, "ancestor").where("id <> _p").select("id", F.col("_p").alias("ancestor"), F.lit(d).alias("depth"), (F.col("ord") * 1000 + F.col("_o")).alias("ord"))
         step = step.groupBy("id", "ancestor").agg(F.min("depth").alias("depth"), F.min("ord").alias("ord")).join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti").select("id", "ancestor", "depth", "ord")
+        step = cut_lineage(step)
         if step.isEmpty():
             break
         found = found.unionByName(step)
@@ -58,7 +61,7 @@ def mount_prefixes(routers: DataFrame, mounts: DataFrame, sweeps: int | None = N
     most = sweeps if sweeps is not None else mounts.count() + 1
     for _ in range(most):
         step = last.join(step.withColumnsRenamed({"id": "parent", "prefix": "above"}), "parent").join(routers.select(F.col("id").alias("child"), "own"), "child").select(F.col("child").alias("id"), F.concat("above", "at", "own").alias("prefix"))
-        step = step.join(known.select("id"), "id", "left_anti")
+        step = cut_lineage(step.join(known.select("id"), "id", "left_anti"))
         if step.isEmpty():
             break
         known = known.unionByName(step)

@@ -132,20 +132,20 @@ def module_adjacency(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 def first_member_module(components: DataFrame, membership: DataFrame, key: str, members: str) -> DataFrame:
     """(key, module): the module of the first member, in array order, that has one."""
-    rows = components.select(key, F.posexplode(members).alias("_pos", "id")).join(membership.select("id", "module"), "id")
+    rows = components.select(key, F.posexplode(members).alias("_pos", "_m")).join(membership.select(F.col("id").alias("_m"), "module"), "_m")
     return rows.groupBy(key).agg(F.min_by("module", F.struct("_pos", "module")).alias("module"))
 
 
 def resolve_names(owners: DataFrame, key: str, ids: str, names: DataFrame) -> DataFrame:
     """(key, names): the sorted distinct names of an array of ids; names has id and name."""
-    rows = owners.select(key, F.explode(ids).alias("id")).join(names.select("id", "name"), "id")
+    rows = owners.select(key, F.explode(ids).alias("_m")).join(names.select(F.col("id").alias("_m"), "name"), "_m")
     return rows.groupBy(key).agg(sorted_set(F.col("name")).alias("names"))
 
 
 def attach_to_modules(modules: DataFrame, owners: DataFrame, key: str, members: str, membership: DataFrame, into: str) -> DataFrame:
     """modules with the keys of owners added to the array into, wherever a member is of the module."""
-    rows = owners.select(key, F.explode(members).alias("id")).join(membership.select("id", "module"), "id")
-    more = rows.groupBy("module").agg(F.collect_set(key).alias("_more")).withColumnRenamed("module", "id")
+    rows = owners.select(F.col(key).alias("_k"), F.explode(members).alias("_m")).join(membership.select(F.col("id").alias("_m"), "module"), "_m")
+    more = rows.groupBy(F.col("module").alias("id")).agg(F.collect_set("_k").alias("_more"))
     none = F.array().cast("array<string>")
     return modules.join(more, "id", "left").withColumn(into, F.array_sort(F.array_union(F.coalesce(into, none), F.coalesce("_more", none)))).drop("_more")
 
