@@ -87,21 +87,35 @@ class Encoder:
         out: list[int] = []
         put = out.append
         upto = np.zeros(len(pieces) + 1, np.int64)
-        for k, piece in enumerate(pieces):
+        def quick(piece: str, mark: str) -> tuple[str, ...] | None:
+            """The pre-tokens of a Latin word with or without a closing mark; None for all else."""
             last = piece[-1:]
             word = piece[:-1] if last in MARKS else piece
             if word.isascii() and word.isalpha():
-                parts = (mark + (word.lower() if folds else word),)
+                first = mark + (word.lower() if folds else word)
             elif word.isalpha() and not folds and max(word) < "\u0250":
-                parts = (mark + word.encode().decode("latin-1").translate(table),)
+                first = mark + word.encode().decode("latin-1").translate(table)
             else:
-                word, parts = piece, self._split(piece, lead)
+                return None
+            return (first,) if word is piece else (first, last)
+
+        for k, piece in enumerate(pieces):
+            parts = quick(piece, mark)
+            if parts is None and "\n" in piece:
+                # A line end between two words is a pre-token of its own, or none where white space is dropped.
+                lines = [quick(x, "" if i else mark) for i, x in enumerate(piece.split("\n"))]
+                if None not in lines:
+                    parts = lines[0]
+                    for x in lines[1:]:
+                        parts = (*parts, *x) if folds else (*parts, "\u010a", *x)
+            if parts is None:
+                parts = self._split(piece, lead)
             if parts is None:
                 pool.extend(self.tokenizer.encode(lead + piece, add_special_tokens=False).ids)
                 put(len(ends))
                 ends.append(len(pool))
             else:
-                for x in (*parts, last) if len(word) < len(piece) else parts:
+                for x in parts:
                     at = known.get(x)
                     if at is None:
                         at = len(ends)

@@ -142,7 +142,7 @@ def _pack_partition(path: str, window: int, block_ids: int):
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "start", "length", "doc_tokens", "part", "local_sequence", "offset", "ids"])
 
-        for batch in small_batches(batches, "text", 16_000_000):
+        for batch in small_batches(batches, "text", 32_000_000):
             ids, ends = with_end(*enc.encode(batch.column("text")), END_ID)
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 x = ids[ends[i] : ends[i + 1]]

@@ -101,7 +101,7 @@ def _encode(path: str, width: str):
         task = TaskContext.get().partitionId()
         seen: set[bytes] = set()
         stored_chunks = 0
-        for batch in small_batches(batches, "text", 16_000_000):
+        for batch in small_batches(batches, "text", 32_000_000):
             ids, ends = with_end(*enc.encode(batch.column("text")), END_ID)
             stored = ids.astype(width)
             docs, roots, sizes, hashes, new, news = [], [], [], [], [], []
