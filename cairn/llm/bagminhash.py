@@ -336,8 +336,10 @@ def similar_groups(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     member = member.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     member = member.withColumn("own", F.pmod(F.xxhash64("uid", "key"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "uid", "root")
-    member = member.join(signed, "uid").join(texts.select("uid", "text"), "uid")
+    member = cut(member.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "uid", "root"), "open-members")
+    # What a member brings along is put together once per text, not once per key.
+    brought = texts.select("uid", "text").join(member.select("uid").distinct(), "uid", "left_semi").join(signed, "uid")
+    member = member.join(brought, "uid")
     member = member.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two").select("key", "one", "two", "own", "uid", "root", "sig", "keys", "text")
     more = cut(member.mapInArrow(_open_links(threshold), "a long, b long").distinct(), "more-links")
     if more.isEmpty():
