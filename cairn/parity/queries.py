@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.extract import alembic, ddl, mounts, openapi, python_source
+from cairn.extract.run import extract
 from cairn.functions import coerce, paths, routes, text
 from cairn.operators import aggs, checks, graph, joins, windows
 from cairn.search import hybrid, index
@@ -601,3 +603,57 @@ def snippet_lines(spark, d):
 def render_blocks(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("name"), F.concat_ws("\n", F.concat(F.lit("### Nation: "), "n_name"), F.concat(F.lit("- Region: "), "r_name")).alias("block"))
+
+
+# Extractors, over source text that follows from part rows.
+
+
+def _sources(spark, d, suffix: str, *pieces):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(F.concat(F.lit("src/m"), k, F.lit(suffix)).alias("path"), F.concat(*pieces).alias("text"))
+
+
+@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, kind, 'src.m' || p_partkey || q AS qualified_name, l AS start_line, s AS signature, v AS visibility FROM part, (VALUES ('class', '.C', 1, '(Base)', 'public'), ('method', '.C._m', 2, '(self, a: int) -> str', 'protected'), ('function', '.f', 4, '()', 'public')) x(kind, q, l, s, v)""")
+def py_definitions(spark, d):
+    f = _sources(spark, d, ".py", F.lit("class C(Base):\n    def _m(self, a: int) -> str:\n        return a\nasync def f():\n    return C()\n"))
+    return extract(f, python_source.definitions, python_source.DEFINITIONS).select("source_file", "kind", "qualified_name", "start_line", "signature", "visibility")
+
+
+@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, 'src.m' || p_partkey || '.f' AS caller, c AS callee, t AS receiver_class, l AS line FROM part, (VALUES ('C', NULL, 5), ('run', 'C', 6), ('p' , 'D', 7)) x(c, t, l)""")
+def py_calls(spark, d):
+    f = _sources(spark, d, ".py", F.lit("class C:\n    pass\n\ndef f(x: D):\n    c = C()\n    c.run()\n    x.p()\n"))
+    return extract(f, python_source.calls, python_source.CALLS).select("source_file", "caller", "callee", "receiver_class", "line")
+
+
+@query("""SELECT 'table::src/m' || p_partkey || '.sql::t' || p_partkey AS id, 't' || p_partkey AS name, 'id INTEGER pk|name VARCHAR(' || p_size || ')|ref BIGINT -> other' AS columns, 1::BIGINT AS constraints FROM part""")
+def ddl_tables(spark, d):
+    k = F.col("p_partkey")
+    f = _sources(spark, d, ".sql", F.lit("-- made\nCREATE TABLE t"), k, F.lit(" (id integer PRIMARY KEY, name varchar("), F.col("p_size"), F.lit(") NOT NULL, ref bigint REFERENCES other (id), UNIQUE (name, ref));\nINSERT INTO x VALUES (1);"))
+    rows = extract(f, ddl.tables, ddl.TABLES)
+    shown = F.transform("columns", lambda c: F.concat(c["name"], F.lit(" "), c["data_type"], F.when(c["primary_key"], " pk").otherwise(""), F.coalesce(F.concat(F.lit(" -> "), c["references_table"]), F.lit(""))))
+    return rows.select("id", "name", joined(shown).alias("columns"), F.size("constraints").cast("long").alias("constraints"))
+
+
+@query("""SELECT 'src/m' || p_partkey || '.json' AS spec_file, m AS method, '/v1/p' || p_partkey || t AS path, o AS operation_id, p AS parameters FROM part, (VALUES ('GET', '/{id}', 'one', 'id|q'), ('POST', '/{id}', NULL, 'id')) x(m, t, o, p)""")
+def openapi_operations(spark, d):
+    f = _sources(spark, d, ".json", F.lit('{"swagger": "2.0", "basePath": "/v1/", "paths": {"/p'), F.col("p_partkey"), F.lit('/{id}": {"parameters": [{"name": "id"}], "get": {"operationId": "one", "parameters": [{"name": "q"}]}, "post": {}}}}'))
+    return extract(f, openapi.operations, openapi.OPERATIONS).select("spec_file", "method", "path", "operation_id", joined(F.col("parameters")).alias("parameters"))
+
+
+@query("""SELECT 'migration::src/m' || p_partkey || '.py' AS id, 'create_table t' || p_partkey || '|drop_column t' || p_partkey AS operations FROM part""")
+def alembic_operations(spark, d):
+    k = F.col("p_partkey")
+    f = _sources(spark, d, ".py", F.lit('from alembic import op\nimport sqlalchemy as sa\ndef upgrade():\n    op.create_table("t'), k, F.lit('", sa.Column("id", sa.Integer))\n    op.drop_column("t'), k, F.lit('", "c")\ndef downgrade():\n    op.drop_table("x")\n'))
+    return extract(f, alembic.migrations, alembic.MIGRATIONS).where("kind = 'migration'").select("id", joined(F.col("operations")).alias("operations"))
+
+
+@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, kind, router, child, prefix FROM part, (VALUES ('router', 'r', NULL, '/x'), ('mount', 'app', 'r', '/v1')) x(kind, router, child, prefix)""")
+def router_mounts(spark, d):
+    f = _sources(spark, d, ".py", F.lit('r = APIRouter(prefix="/x")\napp.include_router(r, prefix="/v1")\n'))
+    return extract(f, mounts.mounts, mounts.MOUNTS).select("source_file", "kind", "router", "child", "prefix")
+
+
+@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, alias, module, name FROM part, (VALUES ('os', 'os', NULL), ('b', 'src.a', 'b'), ('z', 'c.d', 'y')) x(alias, module, name)""")
+def py_imports(spark, d):
+    f = _sources(spark, d, ".py", F.lit("import os\nfrom .a import b\nfrom c.d import y as z\n"))
+    return extract(f, python_source.imports, python_source.IMPORTS).select("source_file", "alias", "module", "name")
