@@ -230,9 +230,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     refers = keys.select("page_id", "digest").join(leaders, "digest").where(~F.col("page_id").eqNullSafe(F.col("leader"))).distinct()
     refers = refers.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("leader").alias("refers_to"), F.lit(True).alias("revisit"))
     joined = rows.join(refers, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined = joined.select("page_id", "url", "payload", "digest", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
-    ordered = joined.repartition(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    # An archive per partition: where few pages are revisits, pages stay where they were read.
+    ordered = joined.sortWithinPartitions("page_id", "digest", "url")
     return cut(ordered.mapInArrow(_write(folder), MANIFEST), "warc-written")
 
 
