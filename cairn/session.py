@@ -35,11 +35,25 @@ def reach_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir (a temporary one where it is unset)."""
+_own_folder: str | None = None
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
+    global _own_folder
     import tempfile
 
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="cairn-")
+    return _own_folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written to the folder that the cluster names in spark.checkpoint.dir (a temporary one where it is unset)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+        sc.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint()

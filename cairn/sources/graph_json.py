@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import coerce
+from cairn.session import scratch_folder
 
 NODE = "struct<id:string,label:string,file_type:string,source_file:string,source_location:string,source_url:string,captured_at:string,author:string,contributor:string,rationale:string,community:string,community_id:string>"
 EDGE = "struct<source:string,target:string,relation:string,confidence:string,confidence_score:string,weight:string,source_file:string>"
@@ -15,6 +17,9 @@ HYPER = "struct<id:string,label:string,relation:string,nodes:array<string>,membe
 GRAPH = f"directed boolean, multigraph boolean, nodes array<{NODE}>, links array<{EDGE}>, edges array<{EDGE}>, hyperedges array<{HYPER}>, graph struct<hyperedges:array<{HYPER}>>"
 ANALYSIS = "communities map<string,array<string>>, cohesion map<string,double>, gods array<string>, god_nodes array<string>, surprises array<string>, questions array<string>"
 
+# What the names of the sidecars end in.
+ANALYSIS_FILE, LABELS_FILE = "_analysis.json", "_labels.json"
+
 
 class LoadError(Exception):
     """A graph file is missing or isn't what it should be."""
@@ -25,13 +30,21 @@ def read_graph(spark: SparkSession, folder: str, name: str = "graph.json") -> Da
     return spark.read.schema(GRAPH).option("multiLine", True).option("mode", "FAILFAST").json(f"{folder}/{name}")
 
 
-def _sidecar(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A sidecar's one row, or a row of nulls where there is none."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.schema(ddl).option("multiLine", True).json(path)
-    return spark.createDataFrame([tuple([None] * len(ddl_names(ddl)))], ddl)
+def _sidecar(spark: SparkSession, folder: str, ending: str, ddl: str) -> DataFrame:
+    """The one row of the folder's file whose name ends so, or a row of nulls where there is none.
+
+    Spark's readers pass over names that begin with a dot, as sidecars do: such a file is copied first.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(conf)
+    found = sorted(f.getPath().toString() for f in fs.listStatus(where) if f.getPath().getName().endswith(ending)) if fs.exists(where) else []
+    if not found:
+        return spark.createDataFrame([tuple([None] * len(ddl_names(ddl)))], ddl)
+    copy = f"{scratch_folder(spark)}/cairn/sidecar-{uuid.uuid4().hex}.json"
+    target = jvm.org.apache.hadoop.fs.Path(copy)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(found[0]), target.getFileSystem(conf), target, False, conf)
+    return spark.read.schema(ddl).option("multiLine", True).json(copy)
 
 
 def ddl_names(ddl: str) -> list[str]:
@@ -74,8 +87,8 @@ def hyperedges(graph: DataFrame) -> DataFrame:
 
 def communities(spark: SparkSession, folder: str, node_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(communities: ord, community_id, label, cohesion; members: community_id, id) of the sidecar, else of the nodes."""
-    analysis = _sidecar(spark, f"{folder}/.graphify_analysis.json", ANALYSIS)
-    labels = _sidecar(spark, f"{folder}/.graphify_labels.json", "labels map<string,string>")
+    analysis = _sidecar(spark, folder, ANALYSIS_FILE, ANALYSIS)
+    labels = _sidecar(spark, folder, LABELS_FILE, "labels map<string,string>")
     named = labels.select(F.explode_outer("labels").alias("community_id", "_label")).where("community_id IS NOT NULL")
     listed = analysis.select(F.posexplode(F.map_entries("communities")).alias("ord", "c"), "cohesion").select("ord", F.col("c.key").alias("community_id"), F.col("c.value").alias("ids"), F.try_element_at("cohesion", F.col("c.key")).alias("cohesion"))
     if listed.isEmpty():
@@ -88,7 +101,7 @@ def communities(spark: SparkSession, folder: str, node_rows: DataFrame) -> tuple
 
 def insights(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, text) of surprises and questions, and (god, id) of the central nodes."""
-    a = _sidecar(spark, f"{folder}/.graphify_analysis.json", ANALYSIS)
+    a = _sidecar(spark, folder, ANALYSIS_FILE, ANALYSIS)
     text = lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.get_json_object(x, "$.summary"), F.get_json_object(x, "$.label"), x)
     ident = lambda x: F.coalesce(F.get_json_object(x, "$.id"), F.get_json_object(x, "$.node"), F.get_json_object(x, "$.node_id"), F.get_json_object(x, "$.label"), x)
     part = lambda kind, c, f: a.select(F.lit(kind).alias("kind"), F.explode(F.transform(c, f)).alias("text"))
