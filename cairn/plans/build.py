@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cairn import catalog as store
 from cairn.extract import alembic, ddl, mounts, openapi, python_source
 from cairn.extract.run import extract
-from cairn.functions import coerce, paths, routes, text
+from cairn.functions import coerce, paths, routes
 from cairn.operators import aggs, checks, graph, joins, windows
 from cairn.schemas import SCHEMA_VERSION
 from cairn.session import cut_lineage
@@ -23,14 +23,9 @@ from cairn.sources import graph_json
 from .config import BuildError, Config, Diagnostics, ValidationError
 from .registry import CONTENT_SUFFIXES, MANIFESTS, REGISTRY
 
-NONE = "array<string>"
 Pass = Callable[[store.Catalog, SparkSession, Config], store.Catalog]
 
 
-def none():
-    return F.array().cast(NONE)
-
-
 # Loading.
 
 

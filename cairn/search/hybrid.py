@@ -36,8 +36,8 @@ def retrieve(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, question: s
 
 def file_lines(files: DataFrame) -> DataFrame:
     """(path, line, text): lines count from 1; every line end of Unicode's line breaking ends one."""
-    text = F.regexp_replace("text", r"(\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])\z", "")
-    return files.where("text <> ''").select("path", F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")).alias("_i", "text")).select("path", (F.col("_i") + 1).alias("line"), "text")
+    text = F.regexp_replace("text", r"(\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])\z", "")
+    return files.where("text <> ''").select("path", F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")).alias("_i", "text")).select("path", (F.col("_i") + 1).alias("line"), "text")
 
 
 def slices(targets: DataFrame, symbols: DataFrame, files: DataFrame, max_lines: int = 60) -> DataFrame:
