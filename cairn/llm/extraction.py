@@ -3,8 +3,10 @@
 A page becomes a run of text blocks, each with its path of tags from the root. Per path, text length,
 punctuation and link text are summed over its blocks and divided by their number. The ratios are smoothed
 along the page, fused into one score, and paths whose score reaches a share of the page's best are content.
-The innermost element that holds most content text then gives the answer: all its blocks but those of
-menus, adverts, forms and the like, and those that are links for the greater part.
+Text within article or main counts BONUS times in the score; it gets no other preference. On a page with
+such elements the answer is all blocks of content paths, and those short ones that stand beside content in one
+section or between two blocks of it, unless they are links for the greater part. On other pages the innermost
+element that holds most content text gives the answer. Menus, adverts, forms and the like are left out first.
 
 Defined cases: null or empty html gives an empty text; so does a page without any block of content. Tags
 that are left open, stray end tags, unknown character references and broken quotes are read as browsers
@@ -33,9 +35,13 @@ OUTSIDE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead".split())
 MAIN = frozenset("article main".split())
+#: Elements that lie within a section of text but make none of their own.
+WITHIN_SECTION = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th".split())
 
 #: A path is content if its score is at least this share of the best path's.
 SHARE = 0.15
+#: What the score of a path within article or main is multiplied by.
+BONUS = 2.0
 #: The element that holds so much of the content text, and no child of it does, is the main one.
 HOLDS = 0.6
 LINK_SHARE = 0.5
@@ -128,7 +134,7 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
 
 
 def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
-    """The fused score of each path: smoothed text ratio times smoothed punctuation ratio, less its links."""
+    """The fused score of each path: smoothed text ratio times smoothed punctuation ratio, less its links, with the bonus."""
     sums: dict[str, list[float]] = {}
     for node, text, links in blocks:
         s = sums.setdefault(node.path, [0, 0, 0, 0])
@@ -145,42 +151,62 @@ def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
 
     scores: dict[str, list[float]] = {}
     for (node, _, _), s, t, p in zip(blocks, rows, smooth(text_ratio), smooth(marks_ratio)):
-        scores.setdefault(node.path, []).append(t * (1 + p) * (1 - s[3] / max(s[1], 1)))
+        scores.setdefault(node.path, []).append(t * (1 + p) * (1 - s[3] / max(s[1], 1)) * (BONUS if node.main else 1))
     return {k: sum(v) / len(v) for k, v in scores.items()}
 
 
+def section_of(node: Node) -> Node:
+    """The element whose text a block is part of: the nearest that isn't a paragraph, heading, list or table."""
+    while node.tag in WITHIN_SECTION and node.parent:
+        node = node.parent
+    return node
+
+
+def content_and_beside(blocks: list[tuple[Node, str, int]], passes: list[bool]) -> list[bool]:
+    """Per block: it passes, or has few links and is in a section with a passing one, or between two such of one section."""
+    sections = [section_of(node) for node, _, _ in blocks]
+    with_content = {x for x, ok in zip(sections, passes) if ok}
+    after: list[Node | None] = [None] * len(blocks)
+    near: Node | None = None
+    for i in range(len(blocks) - 1, -1, -1):
+        after[i] = near
+        near = sections[i] if passes[i] else near
+    out, near = [], None
+    for (_, text, links), section, ok, follows in zip(blocks, sections, passes, after):
+        beside = section in with_content or (near is not None and near is follows)
+        out.append(ok or (beside and links <= LINK_SHARE * len(text)))
+        near = section if ok else near
+    return out
+
+
 def main_blocks(html: str) -> list[str]:
     blocks = [b for b in blocks_of(html) if not b[0].outside]
     if not blocks:
         return []
-    if any(b[0].main for b in blocks):
-        blocks = [b for b in blocks if b[0].main]
     scores = path_scores(blocks)
     floor = SHARE * max(scores.values())
+    passes = [scores[node.path] >= floor for node, _, _ in blocks]
+    if any(b[0].main for b in blocks):
+        return [text for (_, text, _), ok in zip(blocks, content_and_beside(blocks, passes)) if ok]
     weight: dict[Node, int] = {}
     total = 0
-    for node, text, _ in blocks:
-        if scores[node.path] >= floor:
+    for (node, text, _), ok in zip(blocks, passes):
+        if ok:
             total += len(text)
             up: Node | None = node
             while up:
                 weight[up] = weight.get(up, 0) + len(text)
                 up = up.parent
-    if not total:
-        return []
-    if any(b[0].main for b in blocks):
-        chosen = None
-    else:
-        chosen = max((n for n, w in weight.items() if w >= HOLDS * total), key=lambda n: n.depth)
-        if chosen.tag in ("p", "li", "td", "pre", "blockquote") and chosen.parent:
-            chosen = chosen.parent
+    chosen = max((n for n, w in weight.items() if w >= HOLDS * total), key=lambda n: n.depth)
+    if chosen.tag in ("p", "li", "td", "pre", "blockquote") and chosen.parent:
+        chosen = chosen.parent
 
     def within(node: Node | None) -> bool:
         while node and node is not chosen:
             node = node.parent
         return node is chosen
 
-    return [text for node, text, links in blocks if (links <= LINK_SHARE * len(text) or scores[node.path] >= floor) and (chosen is None or within(node))]
+    return [text for (node, text, links), ok in zip(blocks, passes) if (links <= LINK_SHARE * len(text) or ok) and within(node)]
 
 
 def main_text(html: str | None) -> str:
