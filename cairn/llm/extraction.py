@@ -3,10 +3,10 @@
 A page becomes a run of text blocks, each with its path of tags from the root. Per path, text length,
 punctuation and link text are summed over its blocks and divided by their number. The ratios are smoothed
 along the page, fused into one score, and paths whose score reaches a share of the page's best are content.
-Text within article or main counts BONUS times in the score; it gets no other preference. On a page with
-such elements the answer is all blocks of content paths, and those short ones that stand beside content in one
-section or between two blocks of it, unless they are links for the greater part. On other pages the innermost
-element that holds most content text gives the answer. Menus, adverts, forms and the like are left out first.
+Text within article or main counts BONUS times in the score; it gets no other preference. The answer is all
+blocks of content paths, and of the others those that stand beside content in one section or between two blocks
+of it in one element below body, unless they are links for the greater part. Menus, adverts, forms and the like
+are left out first.
 
 Defined cases: null or empty html gives an empty text; so does a page without any block of content. Tags
 that are left open, stray end tags, unknown character references and broken quotes are read as browsers
@@ -42,8 +42,6 @@ WITHIN_SECTION = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockqu
 SHARE = 0.15
 #: What the score of a path within article or main is multiplied by.
 BONUS = 2.0
-#: The element that holds so much of the content text, and no child of it does, is the main one.
-HOLDS = 0.6
 LINK_SHARE = 0.5
 
 _TOKEN = re.compile(
@@ -162,20 +160,27 @@ def section_of(node: Node) -> Node:
     return node
 
 
+def common_element(a: Node, b: Node) -> Node:
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        a = a.parent or b
+    return a
+
+
 def content_and_beside(blocks: list[tuple[Node, str, int]], passes: list[bool]) -> list[bool]:
-    """Per block: it passes, or has few links and is in a section with a passing one, or between two such of one section."""
+    """Per block: it passes, or has few links and is in a section with a passing one, or between two that share a section or an element in the body."""
     sections = [section_of(node) for node, _, _ in blocks]
     with_content = {x for x, ok in zip(sections, passes) if ok}
-    after: list[Node | None] = [None] * len(blocks)
-    near: Node | None = None
-    for i in range(len(blocks) - 1, -1, -1):
-        after[i] = near
-        near = sections[i] if passes[i] else near
-    out, near = [], None
-    for (_, text, links), section, ok, follows in zip(blocks, sections, passes, after):
-        beside = section in with_content or (near is not None and near is follows)
-        out.append(ok or (beside and links <= LINK_SHARE * len(text)))
-        near = section if ok else near
+    out = list(passes)
+    last = -1
+    for at in [i for i, ok in enumerate(passes) if ok] + [len(blocks)]:
+        if at > last + 1:
+            inner = 0 <= last and at < len(blocks) and (sections[last] is sections[at] or common_element(blocks[last][0], blocks[at][0]).tag not in ("", "html", "body"))
+            for i in range(last + 1, at):
+                _, text, links = blocks[i]
+                out[i] = links <= LINK_SHARE * len(text) and (inner or sections[i] in with_content)
+        last = at
     return out
 
 
@@ -186,27 +191,7 @@ def main_blocks(html: str) -> list[str]:
     scores = path_scores(blocks)
     floor = SHARE * max(scores.values())
     passes = [scores[node.path] >= floor for node, _, _ in blocks]
-    if any(b[0].main for b in blocks):
-        return [text for (_, text, _), ok in zip(blocks, content_and_beside(blocks, passes)) if ok]
-    weight: dict[Node, int] = {}
-    total = 0
-    for (node, text, _), ok in zip(blocks, passes):
-        if ok:
-            total += len(text)
-            up: Node | None = node
-            while up:
-                weight[up] = weight.get(up, 0) + len(text)
-                up = up.parent
-    chosen = max((n for n, w in weight.items() if w >= HOLDS * total), key=lambda n: n.depth)
-    if chosen.tag in ("p", "li", "td", "pre", "blockquote") and chosen.parent:
-        chosen = chosen.parent
-
-    def within(node: Node | None) -> bool:
-        while node and node is not chosen:
-            node = node.parent
-        return node is chosen
-
-    return [text for (node, text, links), ok in zip(blocks, passes) if (links <= LINK_SHARE * len(text) or ok) and within(node)]
+    return [text for (_, text, _), ok in zip(blocks, content_and_beside(blocks, passes)) if ok]
 
 
 def main_text(html: str | None) -> str:

@@ -14,3 +14,13 @@ def test_ratios_decide_on_pages_with_article_or_main():
     assert stray == "\n".join(["Title", *PARAGRAPHS])
     mixed = main_text(f"<body><article><h1>T</h1>{BODY}<div>Short note</div><p>Also.</p></article></body>")
     assert mixed == "\n".join(["T", *PARAGRAPHS, "Short note", "Also."])
+
+
+def test_sections_beside_the_largest_stay():
+    for tag in ("div", "section"):
+        two = main_text(f"<body><div><{tag}>{BODY}</{tag}><{tag}><h2>Part two</h2><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p></{tag}></div></body>")
+        assert two == "\n".join([*PARAGRAPHS, "Part two", *PARAGRAPHS[:2]])
+    many = main_text("<body>" + f"<section>{BODY * 3}</section>" + "".join(f"<section><p>{x}</p></section>" for x in PARAGRAPHS) + "</body>")
+    assert many == "\n".join(PARAGRAPHS * 4)
+    code = main_text("<body><div>" + f"<section>{BODY}<div><pre>x = 1</pre></div></section>" + f"<section>{BODY}</section></div><div>Stray words</div></body>")
+    assert code == "\n".join([*PARAGRAPHS, "x = 1", *PARAGRAPHS])
