@@ -6,7 +6,7 @@ along the page, fused into one score, and paths whose score reaches a share of t
 Text within article or main counts BONUS times in the score; it gets no other preference. The answer is all
 blocks of content paths, and of the others those that stand beside content in one section or between two blocks
 of it in one element below body, unless they are links for the greater part. Menus, adverts, forms and the like
-are left out first.
+are left out first, unless they hold most of the page's text.
 
 Defined cases: null or empty html gives an empty text; so does a page without any block of content. Tags
 that are left open, stray end tags, unknown character references and broken quotes are read as browsers
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .encoding import small_batches
 
 # Elements and the words in class, id or role that mark what isn't main text.
-RAW = "script|style|noscript|template|textarea|iframe|svg|select|button|object|title"
+RAW = frozenset("script style noscript textarea iframe title".split())
+HIDDEN = frozenset("template svg select button object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -34,6 +35,8 @@ OUTSIDE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search".split()
 )
 HEADER_WORDS = frozenset("header masthead".split())
+#: A name with one of these says something of the element's state or surroundings (has-sidebar, comments-open).
+STATE_WORDS = frozenset("has no with without open closed results".split())
 MAIN = frozenset("article main".split())
 #: Elements that lie within a section of text but make none of their own.
 WITHIN_SECTION = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th".split())
@@ -45,16 +48,17 @@ BONUS = 2.0
 LINK_SHARE = 0.5
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "outside", "main", "depth")
+    __slots__ = ("tag", "parent", "path", "marked", "outside", "main", "depth")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent = tag, parent
@@ -64,9 +68,57 @@ class Node:
         words: set[str] = set()
         if attributes:
             for m in _MARKS.finditer(attributes):
-                words.update(_PARTS.split((m[1] or m[2] or m[3] or "").lower()))
+                for name in (m[1] or m[2] or m[3] or "").lower().split():
+                    parts = _PARTS.split(name)
+                    if STATE_WORDS.isdisjoint(parts):
+                        words.update(parts)
         header = tag == "header" or bool(words & HEADER_WORDS)
-        self.outside = bool(parent and parent.outside) or tag in OUTSIDE or (tag not in ("body", "html") and bool(words & OUTSIDE_WORDS)) or (header and not (parent and parent.main))
+        self.marked = tag in OUTSIDE or (tag not in ("body", "html") and bool(words & OUTSIDE_WORDS)) or (header and not (parent and parent.main))
+        self.outside = bool(parent and parent.outside) or self.marked
+
+
+def tokens_of(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag or an empty text, whether it ends the tag, attributes) of each mark-up piece; raw text counts to its piece.
+
+    HIDDEN elements with an end tag of their own are one piece. Those without one hide nothing.
+    """
+    out: list[tuple[int, int, str, bool, str]] = []
+    closes: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    endless: set[str] = set()
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        tag, ends, attributes = (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in RAW and not ends:
+            end = None if tag in endless else _RAW_ENDS[tag].search(html, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(html)
+            else:
+                endless.add(tag)
+            tag = ""
+        elif tag in HIDDEN:
+            stack = opened.setdefault(tag, [])
+            if ends:
+                if stack:
+                    closes[stack.pop()] = len(out)
+            elif not (tag == "svg" and attributes.endswith("/")):
+                if tag in ("button", "select"):
+                    stack.clear()
+                stack.append(len(out))
+            tag = ""
+        out.append((m.start(), at, tag, ends, attributes))
+    if not closes:
+        return out
+    whole: list[tuple[int, int, str, bool, str]] = []
+    k = 0
+    while k < len(out):
+        last = closes.get(k, k)
+        whole.append((out[k][0], out[last][1], *out[k][2:]))
+        k = last + 1
+    return whole
 
 
 def blocks_of(html: str) -> list[tuple[Node, str, int]]:
@@ -93,14 +145,12 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
             links += len(text)
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        name = m[3] or m[6]
-        if not name:
+    for start, end, tag, ends, attributes in tokens_of(html):
+        if start > at:
+            add(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag, ends = name.lower(), bool(m[2] or m[5])
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if ends else 1
@@ -121,7 +171,7 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
         else:
             if tag in CLOSES_P and stack[-1].tag == "p" or tag == stack[-1].tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.pop()
-            stack.append(Node(tag, stack[-1], m[4] or m[7] or ""))
+            stack.append(Node(tag, stack[-1], attributes))
             if len(stack) > 400:
                 del stack[1:-200]
         node = stack[-1]
@@ -131,6 +181,37 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
     return out
 
 
+def inside(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Blocks that no marked element holds; one with most of the page's text (links apart, with the bonus) isn't taken as marked.
+
+    A single block beside an article's or main's text stays marked. If no block is left, only marks by tag count.
+    """
+    if not any(node.outside for node, _, _ in blocks):
+        return blocks
+    weight: dict[Node, float] = {}
+    count: dict[Node, int] = {}
+    total, mains = 0.0, 0
+    for node, text, links in blocks:
+        w = max(len(text) - links, 0) * (BONUS if node.main else 1)
+        total += w
+        mains += node.main
+        up: Node | None = node
+        while up:
+            weight[up] = weight.get(up, 0) + w
+            count[up] = count.get(up, 0) + 1
+            up = up.parent
+
+    def held_by(node: Node, by_tag: bool) -> bool:
+        up: Node | None = node
+        while up and up.outside:
+            if up.marked and (up.tag in OUTSIDE - {"form"} or not by_tag) and (up.tag == "head" or 2 * weight[up] <= total or (count[up] == 1 and mains > up.main)):
+                return True
+            up = up.parent
+        return False
+
+    return [b for b in blocks if not held_by(b[0], False)] or [b for b in blocks if not held_by(b[0], True)]
+
+
 def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
     """The fused score of each path: smoothed text ratio times smoothed punctuation ratio, less its links, with the bonus."""
     sums: dict[str, list[float]] = {}
@@ -185,7 +266,7 @@ def content_and_beside(blocks: list[tuple[Node, str, int]], passes: list[bool])
 
 
 def main_blocks(html: str) -> list[str]:
-    blocks = [b for b in blocks_of(html) if not b[0].outside]
+    blocks = inside(blocks_of(html))
     if not blocks:
         return []
     scores = path_scores(blocks)

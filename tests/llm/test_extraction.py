@@ -24,3 +24,18 @@ def test_sections_beside_the_largest_stay():
     assert many == "\n".join(PARAGRAPHS * 4)
     code = main_text("<body><div>" + f"<section>{BODY}<div><pre>x = 1</pre></div></section>" + f"<section>{BODY}</section></div><div>Stray words</div></body>")
     assert code == "\n".join([*PARAGRAPHS, "x = 1", *PARAGRAPHS])
+
+
+def test_tags_and_marks_hide_no_text():
+    text = "\n".join(PARAGRAPHS)
+    for odd in ('<svg class="i"/>', "<svg-icon></svg-icon>", "<button-group>", "<object data=x>", "<button>", "<iframe src=x>", "<select>", "<title-bar></title-bar>", "<template>"):
+        assert main_text(f"<body><div>{odd}{BODY}</div></body>") == text, odd
+        assert main_text(f"<body><div>{odd}{BODY}</div><p>Go on <button>x</button></p><svg><title>t</title></svg></body>").startswith(text), odd
+    hidden = main_text(f"<body><div>{BODY}<svg><svg>one</svg>two</svg><script>a<b</script ><button>three</button><select><option>four</select></div></body>")
+    assert hidden == text
+    for name in ("class='content has-sidebar'", "class='comments-open'", "id='search-results'", "class='widget'"):
+        assert main_text(f"<body><div {name}>{BODY}<div class=comments><p>Nice.</p></div></div><div class=sidebar>Side words</div></body>") == text, name
+    assert main_text(f"<body><form><nav><a href=/>Home</a></nav><div>{BODY}</div></form></body>") == text
+    thirds = main_text("<body>" + "".join(f"<div class=widget><p>{x}</p></div>" for x in PARAGRAPHS) + "<nav><a href=/>Home</a></nav></body>")
+    assert thirds == text
+    assert main_text("<body><div class=ad>An advert of more words than the text.</div><article><p>Text.</p></article></body>") == "Text."
