@@ -1,8 +1,8 @@
-"""Graph operators: adjacency, expansion, ancestors and prefix relaxation, by bounded loops of joins."""
+"""Graph operators: adjacency, expansion, ancestors and prefix relaxation, by loops of joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.session import cut_lineage
@@ -10,6 +10,8 @@ from cairn.session import cut_lineage
 DECAY = 0.5
 LEAST = 0.15
 SEEDS = 40
+#: Rounds after which what was found is written too, so that plans of deep graphs stay short.
+CUT_EVERY = 16
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -34,18 +36,26 @@ def expand(seeds: DataFrame, near: DataFrame, hops: int = 1, width: int = SEEDS)
     return total.groupBy("id").agg(F.sum("score").alias("score"))
 
 
-def ancestors(parents: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, ancestor, depth): breadth-first over (id, parent, ord), each ancestor once at its least depth; cycles end."""
-    found = step = parents.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.col("ord").cast("long").alias("ord")).where("id <> ancestor")
-    for d in range(2, depth + 1):
-        up = parents.select(F.col("id").alias("ancestor"), F.col("parent").alias("_p"), F.col("ord").cast("long").alias("_o"))
-        step = step.join(up, "ancestor").where("id <> _p").select("id", F.col("_p").alias("ancestor"), F.lit(d).alias("depth"), (F.col("ord") * 1000 + F.col("_o")).alias("ord"))
-        step = step.groupBy("id", "ancestor").agg(F.min("depth").alias("depth"), F.min("ord").alias("ord")).join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti").select("id", "ancestor", "depth", "ord")
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(id, ancestor, depth, ord): breadth-first over (id, parent, ord) to the last level, each ancestor once at its least depth; cycles end.
+
+    ord orders an id's ancestors of one depth: it is their rank by the path of parents' ord.
+    """
+    up = parents.select(F.col("id").alias("ancestor"), F.col("parent").alias("_p"), F.col("ord").cast("long").alias("_o"))
+    first = parents.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.col("ord").cast("long").alias("ord")).where("id <> ancestor")
+    found = step = first.groupBy("id", "ancestor").agg(F.min("depth").alias("depth"), F.min("ord").alias("ord"))
+    d = 1
+    while True:
+        d += 1
+        step = step.join(up, "ancestor").where("id <> _p").groupBy("id", F.col("_p").alias("ancestor")).agg(F.min(F.struct("ord", "_o")).alias("_place")).join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti")
+        # Ranks start anew on each level, so that they stay small however deep it is.
+        step = step.select("id", "ancestor", F.lit(d).alias("depth"), F.dense_rank().over(Window.partitionBy("id").orderBy("_place")).cast("long").alias("ord"))
         step = cut_lineage(step)
         if step.isEmpty():
-            break
+            return found
         found = found.unionByName(step)
-    return found.groupBy("id", "ancestor").agg(F.min("depth").alias("depth"), F.min("ord").alias("ord"))
+        if d % CUT_EVERY == 0:
+            found = cut_lineage(found)
 
 
 def mount_prefixes(routers: DataFrame, mounts: DataFrame, sweeps: int | None = None) -> DataFrame:

@@ -536,7 +536,7 @@ def khop_expand_2(spark, d):
 @query("""WITH RECURSIVE a(id, ancestor, depth) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT id, ancestor // 2, depth + 1 FROM a WHERE ancestor > 0) SELECT id, ancestor, depth FROM a""")
 def bfs_ancestors(spark, d):
     p = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 2).cast("long").alias("parent"), F.lit(0).alias("ord"))
-    return graph.ancestors(p, 20).select("id", "ancestor", "depth")
+    return graph.ancestors(p).select("id", "ancestor", "depth")
 
 
 @query("""SELECT 'r' || r_regionkey AS id, '/' || lower(r_name) AS prefix FROM region UNION ALL SELECT 'n' || n_nationkey, '/' || lower(r_name) || '/at' || n_nationkey || '/' || lower(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey
