@@ -21,8 +21,6 @@ from .common import cut, free_name
 
 #: Intervals up to which the list is broadcast, in rows; a longer one is joined by shuffle.
 BROADCAST_INTERVALS = 500_000
-#: Path directories and host labels that are looked up; a URL has more only if its host has over 127 labels.
-MAX_LABELS = 127
 
 
 def host_of(url: Column) -> Column:
@@ -39,8 +37,7 @@ def subjects(url: Column) -> Column:
     """All subjects that a URL can be listed under: host:h, domain:d for h and its parents, prefix:h/dir/."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    n = F.least(F.size(labels), F.lit(MAX_LABELS))
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     folders = F.split(F.regexp_replace(path_of(url), r"[^/]*$", ""), "/")
     depth = F.size(folders) - 2
     prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(2), depth + 1), lambda i: F.concat(F.lit("prefix:"), host, F.array_join(F.slice(folders, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
