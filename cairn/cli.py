@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         except BuildError as e:
             print(e, file=sys.stderr)
             return 1
-        for row in said.rows:
+        for row in said.issues.orderBy("level", "code", "message").toLocalIterator():
             print(*row)
         print(json.dumps(KnowledgeBase(spark, catalog=out).stats(), default=str))
         return 0

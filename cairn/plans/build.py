@@ -23,6 +23,9 @@ from cairn.sources import graph_json
 from .config import BuildError, Config, Diagnostics, ValidationError
 from .registry import CONTENT_SUFFIXES, MANIFESTS, REGISTRY
 
+#: Issues of a code that the diagnostics list; the table of issues has all.
+SHOWN = 100
+
 Pass = Callable[[store.Catalog, SparkSession, Config], store.Catalog]
 
 
@@ -317,12 +320,24 @@ def build(spark: SparkSession, config: Config, progress: Callable[[str], None] |
     if config.output:
         store.write(out, config.output)
         out = store.read(spark, config.output)
-    for r in c["_lost_files"].limit(100).collect():
-        said.add("warning", "load", f"{r[0]} is named by the graph, but isn't there")
-    issues = checks.validate(out, SCHEMA_VERSION).orderBy("level", "code", "message").limit(1000).collect()
-    for r in issues:
-        said.add(r["level"], "validate", f"{r['code']}: {r['message']}")
-    errors = [f"{r['code']}: {r['message']}" for r in issues if r["level"] == "error"]
+    lost = c["_lost_files"]
+    lost = lost.select(F.lit("warning").alias("level"), F.lit("LOST_SOURCE_FILE").alias("code"), F.concat(lost.columns[0], F.lit(" is named by the graph, but isn't there")).alias("message"))
+    issues = checks.validate(out, SCHEMA_VERSION).unionByName(lost)
+    if config.output:
+        issues.write.mode("overwrite").parquet(f"{config.output}/issues")
+        said.issues = spark.read.schema(issues.schema).parquet(f"{config.output}/issues")
+    else:
+        said.issues = cut_lineage(issues)
+    for r in said.issues.groupBy("level", "code").count().orderBy("level", "code").collect():
+        level, code, n = r
+        said.counts[level, code] = n
+        name, head = ("load", "") if code == "LOST_SOURCE_FILE" else ("validate", f"{code}: ")
+        first = said.issues.where((F.col("level") == level) & (F.col("code") == code)).orderBy("message").limit(SHOWN).collect()
+        for x in first:
+            said.add(level, name, f"{head}{x['message']}")
+        if n > len(first):
+            said.add(level, name, f"{code}: {n - len(first)} more of {n}, see the table of issues")
+    errors = [m for level, name, m in said.rows if level == "error" and name == "validate"]
     if config.strict and errors:
         raise ValidationError("; ".join(errors[:5]))
     return out, said

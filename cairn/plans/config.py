@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
 
 
 class BuildError(Exception):
@@ -26,10 +30,16 @@ class Config:
 
 @dataclass
 class Diagnostics:
-    """What a build reports: (level, pass, message) and seconds by pass."""
+    """What a build reports: (level, pass, message), seconds by pass, and all issues.
+
+    issues (level, code, message) is whole, as is its count by level and code; rows has the first ones of each
+    code and a line with the number of the rest. With an output, the issues are stored in its folder `issues`.
+    """
 
     rows: list[tuple[str, str, str]] = field(default_factory=list)
     seconds: dict[str, float] = field(default_factory=dict)
+    counts: dict[tuple[str, str], int] = field(default_factory=dict)
+    issues: DataFrame | None = None
 
     def add(self, level: str, name: str, message: str) -> None:
         self.rows.append((level, name, message))
