@@ -1,21 +1,26 @@
 """Near-duplicates by weighted Jaccard similarity: BagMinHash signatures, bands, exact verification.
 
 A document is the multiset of its runs of five words (a shorter one is a single run). BagMinHash: each
-shingle owns Poisson processes in time, one for each dyadic interval [0,1), [1,2), [2,4), ... of weight;
-a point has a slot of the signature and a weight, drawn bit by bit down the interval, and counts if that
-weight lies below the shingle's. A slot keeps its earliest point. Two documents agree in a slot with
-probability equal to their weighted Jaccard similarity. Points are made in the order of time and only up
-to a time by which all slots are filled, so large documents cost little more than small ones.
+shingle owns Poisson processes in time, one for each dyadic interval [0,1), [1,2), [2,4), ... of weight.
+A process of [2^k, 2^(k+1)) stands for the tree of its halves: a point belongs to the half, quarter, ...
+that the bits of its weight name, from the highest on (all bits come from one hash), and counts if that
+weight lies below the shingle's. Each point has a slot of the signature; a slot keeps its earliest point.
+Two documents agree in a slot with probability equal to their weighted Jaccard similarity. Points are made
+in the order of time and only up to a time by which all slots are filled, so large documents cost little
+more than small ones. One byte of a slot's point is kept.
 
 Groups: copies of a text are one row from the start. Bands of slots, drawn by a fixed rule, give keys.
-Members of a key are compared with the key's least member; links of 0.8 and more join groups; then, in keys
-that still hold more than one group, members of different groups are compared in blocks of bounded size,
-where each link found joins groups and so spares comparisons; blocks give back links only. A comparison
-first counts equal slots (one byte each) and then, if need be, the shingles themselves, so every link is exact. Groups are connected components, found with distributed joins.
+Members of a key are compared with the key's least member; links of 0.8 and more join groups. In keys that
+still hold more than one group, members of different groups are compared in blocks of bounded size: the
+largest group of a key is dealt out once, the others meet each of its blocks. A first pass compares
+signatures alone and gives back the members that have a partner; only their texts are fetched, and a second
+pass compares shingles, where each link found joins groups and so spares comparisons. Every link is exact.
+Groups are connected components, found with distributed joins. Intermediate tables are deleted when used up.
 
 Defined cases: null and empty texts are copies of each other and of no other text. Rows that repeat are
 copies. A null doc_id stays a row; a group's class_id is its least doc_id that isn't null. An empty table
-gives no rows.
+gives no rows. Columns that a caller adds are ignored, or pass through in keep_one; of rows equal in doc_id
+and text it keeps the one whose JSON form comes first.
 """
 
 from __future__ import annotations
@@ -26,11 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import BLANK_RUN, BLANKS, cut, free_name
+from .common import BLANK_RUN, BLANKS, Scratch, cut, free_name
 from .encoding import ragged_take, small_batches
 
 SHINGLE = 5
@@ -38,7 +43,7 @@ SIMILARITY = 0.8
 SLOTS = 256
 BANDS = 64
 ROWS = 8
-#: Pairs that agree in fewer slots than this share aren't verified: five standard deviations below 0.8.
+#: Pairs that agree in fewer slots than this share aren't verified: five standard deviations below 0.8. With 0 all are.
 LEAST_AGREEMENT = 0.675
 #: Rows of a key that are compared in one task; larger keys are cut into blocks of this size.
 BLOCK = 512
@@ -141,22 +146,38 @@ def band_slots(slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS) -> np.n
     return np.array([np.sort(b) for b in order.reshape(bands, rows)])
 
 
-def _sign(batches):
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key for each row of sig and band, as uint64."""
     chosen = band_slots()
+    x = np.tile(np.arange(1, len(chosen) + 1, dtype=np.uint64), (len(sig), 1))
+    for r in range(chosen.shape[1]):
+        x = mix(x * _M3 + sig[:, chosen[:, r]])
+    return x
+
+
+def sig_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _sign(batches):
+    """doc_id, mark, sig; texts that repeat in a batch are signed once, those without words not at all."""
     for batch in small_batches(batches, "text", 3_000_000):
-        n = batch.num_rows
-        sig = signatures(*shingles(batch.column("text")), n)
-        keys = np.zeros((n, len(chosen)), np.uint64)
-        for b, slots in enumerate(chosen):
-            x = np.full(n, b + 1, np.uint64)
-            for s in slots:
-                x = mix(x * _M3 + sig[:, s])
-            keys[:, b] = x
-        small = (sig & np.uint64(255)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("uid"), pa.array([r.tobytes() for r in small], pa.binary()), pa.ListArray.from_arrays(np.arange(0, n * len(chosen) + 1, len(chosen), dtype=np.int32), pa.array(keys.view(np.int64).ravel()))],
-            names=["uid", "sig", "keys"],
-        )
+        codes = np.asarray(batch.column("mark").dictionary_encode().indices)
+        _, where = np.unique(codes, return_index=True)
+        doc, h, weight = shingles(batch.column("text").take(pa.array(where)))
+        small = (signatures(doc, h, weight, len(where)) & np.uint64(255)).astype(np.uint8)
+        signed = np.zeros(len(where), bool)
+        signed[doc] = True
+        sig = pa.array([r.tobytes() if ok else None for r, ok in zip(small, signed)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), sig.take(pa.array(codes))], names=["doc_id", "mark", "sig"])
+
+
+def _bands(batches):
+    for batch in batches:
+        if batch.num_rows:
+            keys = band_keys(sig_matrix(batch.column("sig")))
+            uid = np.repeat(batch.column("uid").to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(keys.view(np.int64).ravel())], names=["uid", "key"])
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -188,44 +209,59 @@ def exact_similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _verify(batches):
-    for batch in small_batches(batches, "text_a", 2_000_000):
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            s = exact_similarity(part.column("text_a"), part.column("text_b"))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s)], names=["a", "b", "similarity"])
+    for wide in small_batches(batches, "text_a", 2_000_000):
+        for batch in small_batches([wide], "text_b", 2_000_000):
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                s = exact_similarity(part.column("text_a"), part.column("text_b"))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s)], names=["a", "b", "similarity"])
+
+
+def place_of(doc_id: Column, mark: Column) -> Column:
+    """What names a row: its doc_id and the MD5 of its text."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), mark)
+
+
+def texts_of(uids: DataFrame, once: DataFrame, rows: DataFrame, tables: Scratch) -> DataFrame:
+    """(uid, text) of uids: of rows, those of the least doc_id of a text."""
+    wanted = once.join(uids.select("uid").distinct(), "uid", "left_semi").select("uid", place_of(F.col("least"), F.col("mark")).alias("place"))
+    wanted = tables.cut(wanted, "wanted")
+    found = rows.select(place_of(F.col("doc_id"), F.col("mark")).alias("place"), "text").join(wanted, "place")
+    return found.dropDuplicates(["place"]).select("uid", "text")
 
 
-def verify_pairs(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verify_pairs(pairs: DataFrame, once: DataFrame, rows: DataFrame, threshold: float, least_agreement: float, tables: Scratch) -> DataFrame:
     """The pairs (a, b) that are similar enough, with their similarity."""
-    sig = signed.select("uid", "sig")
+    sig = once.select("uid", "sig")
     near = pairs.join(sig.withColumnsRenamed({"uid": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"uid": "b", "sig": "sig_b"}), "b")
-    near = near.where(_agree("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
-    near = cut(near, "near-pairs")
-    t = texts.select("uid", "text")
+    near = near.where(_agree("sig_a", "sig_b") >= least_agreement).select("a", "b")
+    near = tables.cut(near, "near-pairs")
+    t = texts_of(near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))), once, rows, tables)
     both = near.join(t.withColumnsRenamed({"uid": "a", "text": "text_a"}), "a").join(t.withColumnsRenamed({"uid": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """(uid, root) for each end of an edge (a, b): the least uid of its component.
 
-    Alternating large-star and small-star steps; each is a group-by and a join, and each result is written.
+    Alternating large-star and small-star steps until every end hangs on a root. Each step's minima are
+    written before they are joined, so that adaptive execution can split the rows of a hub.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
+    tables = tables or Scratch(edges.sparkSession)
+    edges = tables.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large, "large-star")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = tables.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = tables.cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+        tables.drop(edges, least)
+        down = tables.cut(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    return edges.unionByName(edges.select(F.col("b").alias("a"), "b")).distinct().withColumnsRenamed({"a": "uid", "b": "root"})
+        edges = tables.cut(small.where("a <> b").distinct(), "small-star")
+        tables.drop(large, down)
+    return tables.cut(edges.select(F.col("a").alias("uid"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("uid"), F.col("b").alias("root")).distinct()), "groups")
 
 
 def _own_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +275,25 @@ def _overlap(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarr
     return both / max(int(one[1].sum() + two[1].sum()) - both, 1)
 
 
-def block_links(uid, root, own, sig, keys, texts, band, one: int, two: int, threshold: float):
-    """Links between different groups of a block; a link joins its groups, so pairs within one need no comparison.
+def block_pairs(uid, root, own, sig, keys, band: int, one: int, two: int, least_agreement: float):
+    """(i, partners) for members of a block: those of other groups that agree enough, the nearest first.
 
     A pair is compared in the first band alone that its members share.
     """
+    right = np.flatnonzero(own == two)
+    for i in np.flatnonzero(own == one).tolist():
+        other = right[uid[right] > uid[i]] if one == two else right
+        other = other[root[other] != root[i]]
+        other = other[(keys[other] == keys[i]).argmax(axis=1) == band] if len(other) else other
+        if len(other):
+            near = agreement(sig[other], sig[i])
+            found = other[np.argsort(-near, kind="stable")][: int((near >= least_agreement).sum())]
+            if len(found):
+                yield i, found
+
+
+def block_links(uid, root, own, sig, keys, texts, band: int, one: int, two: int, threshold: float, least_agreement: float = LEAST_AGREEMENT):
+    """Links between different groups of a block; a link joins its groups, so pairs within one need no comparison."""
     group = {r: r for r in root.tolist()}
 
     def find(r: int) -> int:
@@ -265,109 +315,162 @@ def block_links(uid, root, own, sig, keys, texts, band, one: int, two: int, thre
             size += len(held[i][0])
         return held[i]
 
-    right = np.flatnonzero(own == two)
-    for i in np.flatnonzero(own == one).tolist():
-        other = right[uid[right] > uid[i]] if one == two else right
-        other = other[root[other] != root[i]]
-        if not len(other):
-            continue
-        other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
-        near = agreement(sig[other], sig[i]) if len(other) else np.zeros(0)
-        for j in other[np.argsort(-near)][: int((near >= LEAST_AGREEMENT).sum())].tolist():
+    for i, partners in block_pairs(uid, root, own, sig, keys, band, one, two, least_agreement):
+        for j in partners.tolist():
             x, y = find(int(root[i])), find(int(root[j]))
             if x != y and _overlap(get(i), get(j)) >= threshold:
                 group[max(x, y)] = min(x, y)
                 yield int(max(uid[i], uid[j])), int(min(uid[i], uid[j]))
 
 
-def _open_links(threshold: float):
-    """Links of different groups from rows sorted by key and block."""
+def _blocks(batches):
+    """The rows of each block, from rows sorted by key and block."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, one, two = (batch.column(c).to_numpy() for c in ("key", "one", "two"))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+        cuts = [0, *new.tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            this = (key[a], one[a], two[a])
+            if this != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = this
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_arrays(rows: pa.Table) -> tuple:
+    """uid, root, own, sig, keys, the band of the key, and the two sides of a block."""
+    uid, root, own = (rows.column(c).to_numpy() for c in ("uid", "root", "own"))
+    key, one, two = (rows.column(c)[0].as_py() for c in ("key", "one", "two"))
+    sig = sig_matrix(rows.column("sig"))
+    keys = band_keys(sig)
+    return uid, root, own, sig, keys, int((keys[0].view(np.int64) == key).argmax()), one, two
+
+
+MEMBER = "key long, one int, two int, own int, uid long, root long, sig binary"
+
+
+def _near_members(least_agreement: float):
+    """The members of blocks that have a partner by signature."""
+
+    def run(batches):
+        for rows in _blocks(batches):
+            stays = np.zeros(len(rows), bool)
+            for i, partners in block_pairs(*_block_arrays(rows), least_agreement):
+                stays[i] = stays[partners] = True
+            if stays.any():
+                yield from rows.filter(pa.array(stays)).to_batches()
+
+    return run
+
+
+def _open_links(threshold: float, least_agreement: float):
+    """Links of different groups, from members with their texts."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def close():
-            if not held:
-                return
-            rows = pa.Table.from_batches(held)
-            held.clear()
-            uid, root, own = (rows.column(c).to_numpy() for c in ("uid", "root", "own"))
-            key, one, two = (rows.column(c)[0].as_py() for c in ("key", "one", "two"))
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(uid), -1)
-            keys = pc.list_flatten(rows.column("keys")).to_numpy().reshape(len(uid), -1)
-            band = int((keys[0] == key).argmax())
-            found = list(block_links(uid, root, own, sig, keys, rows.column("text").to_pylist(), band, one, two, threshold))
+        for rows in _blocks(batches):
+            uid, root, own, sig, keys, band, one, two = _block_arrays(rows)
+            found = list(block_links(uid, root, own, sig, keys, rows.column("text").to_pylist(), band, one, two, threshold, least_agreement))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, one, two = (batch.column(c).to_numpy() for c in ("key", "one", "two"))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
-            cuts = [0, *new.tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                this = (key[a], one[a], two[a])
-                if this != last:
-                    yield from close()
-                    last = this
-                held.append(batch.slice(a, b - a))
-        yield from close()
-
     return run
 
 
-def similar_groups(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(uid, root) of every text of texts (uid, text) that is linked to another."""
-    spark = texts.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = cut(texts.where(F.col("text") != "").mapInArrow(_sign, "uid long, sig binary, keys array<long>"), "signatures")
-    bands = signed.select("uid", F.explode("keys").alias("key"))
+def open_members(crowded: DataFrame, groups: DataFrame, tables: Scratch) -> DataFrame:
+    """Members (key, one, two, own, uid, root) of keys with more than one group, a row for each block they are in.
+
+    A key of up to BLOCK members is one block. Of a larger one, the largest group and the rest are cut into
+    blocks of about that size; blocks of the rest meet those of the largest group and, if they hold several
+    groups, each other. So members of a large group that is nearly the whole key aren't copied.
+    """
+    member = tables.cut(crowded.select("key", "uid").join(groups, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "members")
+    per = member.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1")
+    mixed = tables.cut(mixed.select("key", F.col("top.root").alias("largest"), F.col("top.n").alias("n_largest"), "n", "groups"), "mixed-keys")
+    of = lambda n: F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.ceil(n / BLOCK)).cast("int")
+    member = member.join(mixed, "key").withColumns({"first": of(F.col("n_largest")), "rest": of(F.col("n") - F.col("n_largest"))})
+    dealt = lambda n: F.pmod(F.xxhash64("uid", "key"), F.greatest(n, F.lit(1))).cast("int")
+    in_first = F.col("root") == F.col("largest")
+    member = member.withColumn("own", F.when(F.col("first") == 0, F.lit(0)).when(in_first, dealt(F.col("first"))).otherwise(F.col("first") + dealt(F.col("rest"))))
+    run = lambda a, b: F.sequence(a, b - 1)
+    others = run(F.col("first"), F.col("first") + F.col("rest"))
+    meets = F.when(F.col("first") == 0, F.array(F.lit(0))).when(in_first, others).when(F.col("groups") > 2, run(F.lit(0), F.col("first") + F.col("rest"))).otherwise(run(F.lit(0), F.col("first")))
+    member = member.withColumn("other", F.explode(meets))
+    return member.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "uid", "root")
+
+
+def _in_blocks(member: DataFrame) -> DataFrame:
+    n = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return member.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two")
+
+
+def similar_groups(once: DataFrame, rows: DataFrame, tables: Scratch, threshold: float = SIMILARITY, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """(uid, root) of every text of once (uid, mark, least, sig) that is linked to another; rows hold the texts."""
+    bands = once.where("sig IS NOT NULL").select("uid", "sig").mapInArrow(_bands, "uid long, key long")
     keys = bands.groupBy("key").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    crowded = cut(bands.join(keys, "key"), "bands")
+    crowded = tables.cut(bands.join(tables.cut(keys.select("key", "leader"), "keys"), "key"), "bands")
     stars = crowded.where("uid <> leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct()
-    links = cut(verify_pairs(stars, signed, texts, threshold).select("a", "b"), "links")
-    groups = connected(links)
-
-    # Keys whose members aren't all of one group yet: their pairs of different groups, each pair in one block.
-    member = crowded.select("key", "uid", "n").join(groups, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    member = member.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    member = member.withColumn("own", F.pmod(F.xxhash64("uid", "key"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = cut(member.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "uid", "root"), "open-members")
-    # What a member brings along is put together once per text, not once per key.
-    brought = texts.select("uid", "text").join(member.select("uid").distinct(), "uid", "left_semi").join(signed, "uid")
-    member = member.join(brought, "uid")
-    member = member.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two").select("key", "one", "two", "own", "uid", "root", "sig", "keys", "text")
-    more = cut(member.mapInArrow(_open_links(threshold), "a long, b long").distinct(), "more-links")
-    if more.isEmpty():
+    links = tables.cut(verify_pairs(stars, once, rows, threshold, least_agreement, tables).select("a", "b"), "links")
+    groups = connected(links, tables)
+
+    # Keys whose members aren't all of one group yet: members of different groups, first by their signatures.
+    member = open_members(crowded, groups, tables).join(once.select("uid", "sig"), "uid").select("key", "one", "two", "own", "uid", "root", "sig")
+    member = tables.cut(_in_blocks(member).mapInArrow(_near_members(least_agreement), MEMBER), "near-members")
+    if member.isEmpty():
         return groups
+    texts = texts_of(member, once, rows, tables)
+    more = _in_blocks(member.join(texts, "uid").select("key", "one", "two", "own", "uid", "root", "sig", "text")).mapInArrow(_open_links(threshold, least_agreement), "a long, b long").distinct()
     # Groups are stars already: their edges and the new links give the final groups.
-    return connected(groups.select(F.col("uid").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return connected(groups.select(F.col("uid").alias("a"), F.col("root").alias("b")).unionByName(more), tables)
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """A row per text of docs: mark (its MD5), least (its least doc_id), root (its group), class_id (the group's least doc_id)."""
+    rows = _marked(docs, doc_id, text)
+    with Scratch(docs.sparkSession) as tables:
+        signed = tables.cut(rows.mapInArrow(_sign, "doc_id long, mark string, sig binary"), "signatures")
+        once = signed.groupBy("mark").agg(F.min("doc_id").alias("least"), F.max("sig").alias("sig"))
+        # The numbers of texts are fixed when the table is written.
+        once = tables.cut(once.select(F.monotonically_increasing_id().alias("uid"), "mark", "least", "sig"), "texts")
+        tables.drop(signed)
+        groups = similar_groups(once, rows, tables, threshold, least_agreement)
+        named = once.select("uid", "mark", "least")
+        per = tables.cut(groups.join(named, "uid").groupBy("root").agg(F.min("least").alias("class_id")), "class-ids")
+        named = named.join(groups, "uid", "left").withColumn("root", F.coalesce("root", "uid")).join(per, "root", "left")
+        return cut(named.select("mark", "least", "root", F.coalesce("class_id", "least").alias("class_id")), "classes")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.md5("text").alias("mark"), "text")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """A row per row of docs: doc_id, mark (its text's MD5), root (its group) and class_id, the least doc_id of the group."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    marked = rows.withColumn("mark", F.md5("text"))
-    once = marked.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    # The numbers of texts are fixed when the table is written.
-    texts = cut(once.select(F.monotonically_increasing_id().alias("uid"), "mark", "least", "text"), "texts")
-    groups = similar_groups(texts.select("uid", "text"), threshold)
-    named = texts.select("uid", "mark", "least").join(groups, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = cut(named.join(least, "root").select("mark", "root", "class_id"), "classes")
-    return marked.select("doc_id", "mark").join(named, "mark")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    named = classes(docs, doc_id, text, threshold, least_agreement).select("mark", "root", "class_id")
+    return _marked(docs, doc_id, text).select("doc_id", "mark").join(named, "mark")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """docs with one row of each group: that of the least doc_id that isn't null."""
-    found = near_duplicates(docs, doc_id, text, threshold)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    found = classes(docs, doc_id, text, threshold, least_agreement)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "mark")).alias("first")
     name = free_name(docs, "_kept")
-    key = lambda i, m: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), m)
-    kept = found.groupBy("root").agg(first).select(key(F.col("first.doc_id"), F.col("first.mark")).alias(name))
-    mark = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.withColumn(name, key(F.col(doc_id).cast("long"), mark)).join(kept, name).dropDuplicates([name]).select(*docs.columns)
+    kept = cut(found.groupBy("root").agg(first).select(place_of(F.col("first.least"), F.col("first.mark")).alias(name)), "kept")
+    placed = docs.withColumn(name, place_of(F.col(doc_id).cast("long"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    # Rows equal in doc_id and text are rare: they are settled apart, the rest needs no aggregation of texts.
+    twice = placed.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    twice = cut(twice.join(kept, name, "left_semi"), "kept-twice")
+    if twice.isEmpty():
+        return placed.join(kept, name, "left_semi").select(*docs.columns)
+    single = placed.join(kept.join(twice, name, "left_anti"), name, "left_semi").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = placed.join(twice, name, "left_semi").groupBy(name).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return single.unionByName(chosen.select("row.*"))

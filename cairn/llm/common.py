@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one on a local master where that is unset (tests)."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="cairn-")
     return _own_folder
@@ -34,10 +37,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: later stages recover from these files."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    return _written(df, fresh_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that a computation writes on its way; those that aren't kept are deleted when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        out = _written(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *used_up: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        for df in used_up:
+            _, path = self.paths.pop(id(df))
+            remove_tree(self.spark, path)
 
 
 def remove_tree(spark: SparkSession, path: str) -> None:

@@ -76,7 +76,9 @@ def test_spread_near_the_threshold_is_exact(spark):
     assert line_dedup.spread_lines(lines).count() == 4
 
 
-def test_near_duplicates_by_brute_force(spark, none):
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_duplicates_by_brute_force(spark, none, monkeypatch, block):
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
     base = [f"t{i}" for i in range(120)]
     texts = [" ".join(base), " ".join(base[:-4] + ["q"] * 4), " ".join(base[::-1]), " ".join(base), None, "", "a b", "a b", "a b c"] + PROSE
     for k in range(30):
@@ -106,6 +108,11 @@ def test_near_duplicates_by_brute_force(spark, none):
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = bagminhash.keep_one(df)
     assert kept.columns == df.columns and kept.count() == len(least)
+    if block == 4:
+        return
+    again = df.withColumn("root", F.lit(0)).unionByName(df)
+    assert {r["root"] for r in bagminhash.keep_one(again).collect()} == {0} and bagminhash.keep_one(again).count() == len(least)
+    assert sorted(((r["doc_id"], r["class_id"]) for r in bagminhash.near_duplicates(df, least_agreement=0.0).collect()), key=str) == sorted(want, key=str)
     assert bagminhash.near_duplicates(none).count() == 0 and bagminhash.keep_one(none).count() == 0
 
 
