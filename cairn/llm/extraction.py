@@ -1,21 +1,28 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a run of text blocks, each with its path of tags from the root. Per path, text length,
-punctuation and link text are summed over its blocks and divided by their number. The ratios are smoothed
-along the page, fused into one score, and paths whose score reaches a share of the page's best are content.
-Text within article or main counts BONUS times in the score; it gets no other preference. The answer is all
-blocks of content paths, and of the others those that stand beside content in one section or between two blocks
-of it in one element below body, unless they are links for the greater part. Menus, adverts, forms and the like
-are left out first, unless they hold most of the page's text.
-
-Defined cases: null or empty html gives an empty text; so does a page without any block of content. Tags
-that are left open, stray end tags, unknown character references and broken quotes are read as browsers
-read them, more or less. Rows are independent; other columns are ignored.
+A page becomes a run of text blocks, each with its path of tags from the root. A step of a path says too
+whether its element is marked: a menu, advert, form and the like, by element or by a word in class, id or role.
+Per path, text length, punctuation and link text are summed over its blocks and divided by their number. The
+ratios are smoothed along the page and fused into one score with a prior weight: MARKED for each marked step,
+BONUS for a path within article or main. Paths whose score reaches a share of the page's best are content, on
+every page alike; a page that lies in a marked element as a whole loses nothing, as all its paths share that
+weight. The answer is all blocks of content paths, and of the others those that stand beside content in one
+section or between two blocks of it in one element below body, unless they are links for the greater part or
+more strongly marked than that content.
+
+Words of class, id and role don't mark an article or main element that holds at least half of the text of all
+such elements, nor an element around it.
+
+Defined cases: null or empty html gives an empty text; so does a page without any block of text. Tags that are
+left open, stray end tags, unknown character references and broken quotes are read as browsers read them, more
+or less. Elements may be nested to any depth, pages are read whole. Rows are independent, so repeated rows give
+repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -32,7 +39,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog head".split())
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search".split()
+    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo readers related replies reply respond responses share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search".split()
 )
 HEADER_WORDS = frozenset("header masthead".split())
 #: A name with one of these says something of the element's state or surroundings (has-sidebar, comments-open).
@@ -43,8 +50,9 @@ WITHIN_SECTION = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockqu
 
 #: A path is content if its score is at least this share of the best path's.
 SHARE = 0.15
-#: What the score of a path within article or main is multiplied by.
+#: What the score of a path within article or main is multiplied by, and that of a path for each marked step.
 BONUS = 2.0
+MARKED = 0.02
 LINK_SHARE = 0.5
 
 _TOKEN = re.compile(
@@ -58,13 +66,19 @@ _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "marked", "outside", "main", "depth")
+    """An element. marks counts the marked elements from the root to here, path numbers its tag path; both are set by mark_nodes."""
+
+    __slots__ = ("tag", "parent", "top", "section", "main", "by_tag", "by_word", "holds_main", "marks", "path")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.depth = parent.depth + 1 if parent else 0
-        self.main = bool(parent and parent.main) or tag in MAIN
+        # The element below body that holds this one, and the element whose text a block here is part of: the
+        # nearest that isn't a paragraph, heading, list or table.
+        self.top = parent.top if parent and parent.top else None if tag in ("", "html", "body") else self
+        self.section = parent.section if parent and tag in WITHIN_SECTION else self
+        # The nearest article or main element.
+        self.main = self if tag in MAIN else parent.main if parent else None
+        self.holds_main, self.marks, self.path = False, 0, 0
         words: set[str] = set()
         if attributes:
             for m in _MARKS.finditer(attributes):
@@ -72,9 +86,9 @@ class Node:
                     parts = _PARTS.split(name)
                     if STATE_WORDS.isdisjoint(parts):
                         words.update(parts)
-        header = tag == "header" or bool(words & HEADER_WORDS)
-        self.marked = tag in OUTSIDE or (tag not in ("body", "html") and bool(words & OUTSIDE_WORDS)) or (header and not (parent and parent.main))
-        self.outside = bool(parent and parent.outside) or self.marked
+        outside_main = not (parent and parent.main)
+        self.by_tag = tag in OUTSIDE - {"form"} or (tag == "header" and outside_main)
+        self.by_word = tag == "form" or (tag not in ("body", "html") and bool(words & OUTSIDE_WORDS)) or (outside_main and bool(words & HEADER_WORDS))
 
 
 def tokens_of(html: str) -> list[tuple[int, int, str, bool, str]]:
@@ -121,10 +135,11 @@ def tokens_of(html: str) -> list[tuple[int, int, str, bool, str]]:
     return whole
 
 
-def blocks_of(html: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters of link text) of each block of text, in page order."""
+def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The elements, and (element, text, characters of link text) of each block of text, in page order."""
     root = Node("", None)
-    node, stack = root, [root]
+    node, stack, nodes = root, [root], [root]
+    open_tags: Counter[str] = Counter()
     out: list[tuple[Node, str, int]] = []
     held: list[str] = []
     links, in_link = 0, 0
@@ -144,6 +159,11 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
         if in_link:
             links += len(text)
 
+    def pop() -> str:
+        gone = stack.pop().tag
+        open_tags[gone] -= 1
+        return gone
+
     at = 0
     for start, end, tag, ends, attributes in tokens_of(html):
         if start > at:
@@ -164,57 +184,49 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
         close_block()
         in_link = 0
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                while pop() != tag:
+                    pass
         else:
             if tag in CLOSES_P and stack[-1].tag == "p" or tag == stack[-1].tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
+                pop()
             stack.append(Node(tag, stack[-1], attributes))
-            if len(stack) > 400:
-                del stack[1:-200]
+            nodes.append(stack[-1])
+            open_tags[tag] += 1
         node = stack[-1]
     if at < len(html):
         add(html[at:])
     close_block()
-    return out
+    return nodes, out
 
 
-def inside(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """Blocks that no marked element holds; one with most of the page's text (links apart, with the bonus) isn't taken as marked.
-
-    A single block beside an article's or main's text stays marked. If no block is left, only marks by tag count.
-    """
-    if not any(node.outside for node, _, _ in blocks):
-        return blocks
-    weight: dict[Node, float] = {}
-    count: dict[Node, int] = {}
-    total, mains = 0.0, 0
+def mark_nodes(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Sets marks and path of nodes, parents before their children."""
+    weight: Counter[Node] = Counter()
     for node, text, links in blocks:
-        w = max(len(text) - links, 0) * (BONUS if node.main else 1)
-        total += w
-        mains += node.main
-        up: Node | None = node
-        while up:
-            weight[up] = weight.get(up, 0) + w
-            count[up] = count.get(up, 0) + 1
-            up = up.parent
-
-    def held_by(node: Node, by_tag: bool) -> bool:
-        up: Node | None = node
-        while up and up.outside:
-            if up.marked and (up.tag in OUTSIDE - {"form"} or not by_tag) and (up.tag == "head" or 2 * weight[up] <= total or (count[up] == 1 and mains > up.main)):
-                return True
-            up = up.parent
-        return False
-
-    return [b for b in blocks if not held_by(b[0], False)] or [b for b in blocks if not held_by(b[0], True)]
-
-
-def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
-    """The fused score of each path: smoothed text ratio times smoothed punctuation ratio, less its links, with the bonus."""
-    sums: dict[str, list[float]] = {}
+        if node.main:
+            weight[node.main] += max(len(text) - links, 0)
+    total = sum(weight.values())
+    for node in reversed(nodes):  # inner elements add to the outer ones
+        if node.tag in MAIN and weight[node]:
+            if 2 * weight[node] >= total:
+                up: Node | None = node
+                while up and not up.holds_main:
+                    up.holds_main = True
+                    up = up.parent
+            if node.parent and node.parent.main:
+                weight[node.parent.main] += weight[node]
+    paths: dict[tuple[int, str, bool], int] = {}
+    for node in nodes:
+        marked = node.by_tag or (node.by_word and not node.holds_main)
+        above = node.parent
+        node.marks = (above.marks if above else 0) + marked
+        node.path = paths.setdefault((above.path if above else 0, node.tag, marked), len(paths) + 1)
+
+
+def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[int, float]:
+    """The fused score of each path: smoothed text ratio times smoothed punctuation ratio, less its links, with its prior weight."""
+    sums: dict[int, list[float]] = {}
     for node, text, links in blocks:
         s = sums.setdefault(node.path, [0, 0, 0, 0])
         s[0] += 1
@@ -228,47 +240,39 @@ def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
         wide = [x[0], *x, x[-1]]
         return [(wide[i] + 2 * wide[i + 1] + wide[i + 2]) / 4 for i in range(len(x))]
 
-    scores: dict[str, list[float]] = {}
+    least = min(node.marks for node, _, _ in blocks)
+    scores: dict[int, list[float]] = {}
     for (node, _, _), s, t, p in zip(blocks, rows, smooth(text_ratio), smooth(marks_ratio)):
-        scores.setdefault(node.path, []).append(t * (1 + p) * (1 - s[3] / max(s[1], 1)) * (BONUS if node.main else 1))
+        prior = MARKED ** (node.marks - least) * (BONUS if node.main else 1)
+        scores.setdefault(node.path, []).append(t * (1 + p) * (1 - s[3] / max(s[1], 1)) * prior)
     return {k: sum(v) / len(v) for k, v in scores.items()}
 
 
-def section_of(node: Node) -> Node:
-    """The element whose text a block is part of: the nearest that isn't a paragraph, heading, list or table."""
-    while node.tag in WITHIN_SECTION and node.parent:
-        node = node.parent
-    return node
-
-
-def common_element(a: Node, b: Node) -> Node:
-    while a is not b:
-        if a.depth < b.depth:
-            a, b = b, a
-        a = a.parent or b
-    return a
-
-
 def content_and_beside(blocks: list[tuple[Node, str, int]], passes: list[bool]) -> list[bool]:
     """Per block: it passes, or has few links and is in a section with a passing one, or between two that share a section or an element in the body."""
-    sections = [section_of(node) for node, _, _ in blocks]
-    with_content = {x for x, ok in zip(sections, passes) if ok}
+    with_content: dict[Node, int] = {}
+    for (node, _, _), ok in zip(blocks, passes):
+        if ok:
+            with_content[node.section] = max(with_content.get(node.section, 0), node.marks)
     out = list(passes)
     last = -1
     for at in [i for i, ok in enumerate(passes) if ok] + [len(blocks)]:
         if at > last + 1:
-            inner = 0 <= last and at < len(blocks) and (sections[last] is sections[at] or common_element(blocks[last][0], blocks[at][0]).tag not in ("", "html", "body"))
+            a, b = (blocks[last][0] if last >= 0 else None), (blocks[at][0] if at < len(blocks) else None)
+            inner = bool(a and b) and (a.section is b.section or a.top is b.top is not None)
             for i in range(last + 1, at):
-                _, text, links = blocks[i]
-                out[i] = links <= LINK_SHARE * len(text) and (inner or sections[i] in with_content)
+                node, text, links = blocks[i]
+                near = max(a.marks, b.marks) if inner else -1
+                out[i] = links <= LINK_SHARE * len(text) and node.marks <= max(near, with_content.get(node.section, -1))
         last = at
     return out
 
 
 def main_blocks(html: str) -> list[str]:
-    blocks = inside(blocks_of(html))
+    nodes, blocks = blocks_of(html)
     if not blocks:
         return []
+    mark_nodes(nodes, blocks)
     scores = path_scores(blocks)
     floor = SHARE * max(scores.values())
     passes = [scores[node.path] >= floor for node, _, _ in blocks]
