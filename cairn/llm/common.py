@@ -96,6 +96,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def free_prefix(df: DataFrame, wanted: str = "_x_") -> str:
+    """A prefix that no column of df has."""
+    while any(c.lower().startswith(wanted) for c in df.columns):
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def open_files(path: str):
     """A pyarrow file system and the path within it, for a URI of any store that pyarrow knows."""
     from pyarrow import fs
