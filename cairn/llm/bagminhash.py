@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import BLANK_RUN, BLANKS, Scratch, cut, free_name
+from .common import BLANK_RUN, BLANKS, Scratch, cut, free_name, thinned
 from .encoding import ragged_take, small_batches
 
 SHINGLE = 5
@@ -226,7 +226,7 @@ def texts_of(uids: DataFrame, once: DataFrame, rows: DataFrame, tables: Scratch)
     """(uid, text) of uids: of rows, those of the least doc_id of a text."""
     wanted = once.join(uids.select("uid").distinct(), "uid", "left_semi").select("uid", place_of(F.col("least"), F.col("mark")).alias("place"))
     wanted = tables.cut(wanted, "wanted")
-    found = rows.select(place_of(F.col("doc_id"), F.col("mark")).alias("place"), "text").join(wanted, "place")
+    found = thinned(rows.select(place_of(F.col("doc_id"), F.col("mark")).alias("place"), "text"), wanted, "place").join(wanted, "place")
     return found.dropDuplicates(["place"]).select("uid", "text")
 
 
@@ -257,10 +257,10 @@ def connected(edges: DataFrame, tables: Scratch | None = None) -> DataFrame:
         least = tables.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = tables.cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
         tables.drop(edges, least)
-        down = tables.cut(large.groupBy("a").agg(F.min("b").alias("m")), "down")
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         edges = tables.cut(small.where("a <> b").distinct(), "small-star")
-        tables.drop(large, down)
+        tables.drop(large)
     return tables.cut(edges.select(F.col("a").alias("uid"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("uid"), F.col("b").alias("root")).distinct()), "groups")
 
 
