@@ -2,13 +2,15 @@
 
 Every document has a fixed hash of 60 bits. A source takes whole copies of all its documents, and one more
 copy of those whose hash is at most the source's threshold. The threshold that meets the budget is found
-without sorting: tokens are summed by source and by the 15 highest bits of the hash; a running sum names
-the boundary bucket; only that bucket is summed again by the next 15 bits, and so on until the bucket
-holds one hash value. Thresholds are nested: a larger budget takes a superset.
+without sorting: tokens are summed by source and by the 10 highest bits of the hash; a running sum names
+the boundary bucket; only that bucket is summed again by the next 10 bits, and so on until the bucket
+holds one hash value. Thresholds are nested: a larger budget takes a superset. Whole rows then pass a filter
+on source and hash where they were read: the thresholds, one row a source, come to them.
 
 Defined cases: a null text has size 0, a null source is a source of its own that comes last, an empty
 table gives no rows. Repeated rows share a hash and are taken or left together. Rows with a null doc_id
-hash as one value. Sources of size 0 get a target of 0.
+hash as one value. Sources of size 0 get a target of 0. Texts are counted whole. Columns that a caller adds
+pass through take_mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, free_prefix, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEATS = 2
-DIGIT_BITS = 15
-DIGITS = 4
+DIGIT_BITS = 10
+DIGITS = 6
 
 
 def doc_hash(doc_id: Column, seed: str = "mix") -> Column:
@@ -66,7 +68,7 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """A row per source with the largest hash that it takes (-1: none); budgets has key and budget.
 
     The last document is taken if the sum then lies nearer to the budget. All that a round keeps is a
-    histogram of at most 2^15 rows a source; no rows are sorted or collected.
+    histogram of at most 2^10 rows a source; no rows are sorted or collected.
     """
     state = budgets.select("key", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"), F.lit(-1).cast("long").alias("thr"), F.lit(False).alias("done"))
     for k in range(DIGITS):
@@ -109,26 +111,45 @@ def _few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """A row per document: doc_id, source, h, size, source_size, target, copies."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    sizes = cut(docs.select("doc_id", "source", key.alias("key"), F.size(words(F.col("text"))).cast("long").alias("size"), doc_hash(F.col("doc_id")).alias("h")), "mix-sizes")
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+
+
+def source_plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """A row per source: key, source_size, target, whole (copies of all its documents) and thr (one more up to this hash)."""
     per = source_targets(sizes, weights, share, max_repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    per = cut(per.withColumns({"key": key, "whole": whole}).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    per = per.drop("source").join(thresholds(sizes, per.select("key", "budget")), "key")
-    joined = sizes.join(F.broadcast(per) if _few(per) else per, "key")
+    per = cut(per.withColumns({"key": _key(F.col("source")), "whole": whole}).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    per = cut(per.join(thresholds(sizes, per.select("key", "budget")), "key").select("key", "source_size", "target", "whole", "thr"), "mix-plan")
+    return F.broadcast(per) if _few(per) else per
+
+
+def doc_sizes(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, source, key, size and h; written once, as the rounds read it again and again."""
+    return cut(docs.select("doc_id", "source", _key(F.col("source")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("size"), doc_hash(F.col("doc_id")).alias("h")), "mix-sizes")
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """A row per document: doc_id, source, h, size, source_size, target, copies."""
+    sizes = doc_sizes(docs)
+    joined = sizes.join(source_plan(sizes, weights, share, max_repeats), "key")
     copies = F.col("whole") + (F.col("h") <= F.col("thr")).cast("long")
     return joined.select("doc_id", "source", "h", "size", "source_size", "target", copies.alias("copies"))
 
 
 def take_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mixed rows themselves, each as often as the mix takes it, with the columns of docs."""
-    plan = plan_mix(docs, weights, share, max_repeats)
-    # Rows that are equal in doc_id and source share their number of copies.
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(F.max("copies").alias("_copies"))
-    kept = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).where("_copies > 0").select(*docs.columns)
+    """The mixed rows themselves, each as often as the mix takes it, with the columns of docs.
+
+    No text is shuffled or sorted: hash and source of a row say how many copies of it are taken.
+    """
+    per = source_plan(doc_sizes(docs), weights, share, max_repeats)
+    prefix = free_prefix(docs)
+    per = per.select(*[F.col(c).alias(prefix + c) for c in ("key", "whole", "thr")])
+    own = lambda name: F.col(prefix + name)
+    joined = docs.withColumn(f"{prefix}own", _key(F.col("source"))).join(per, own("own") == own("key"))
+    copies = own("whole") + (doc_hash(F.col("doc_id")) <= own("thr")).cast("long")
+    taken = joined.withColumn(f"{prefix}copies", copies).where(own("copies") > 0)
+    return taken.withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1).cast("long"), own("copies")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = r"""
