@@ -9,7 +9,7 @@ it). Exact hosts come before domains, longer domains before shorter ones; any ac
 Entries of a subject on one moment: the removal is taken last. Defined cases: captures with a null URL or
 fetch time, or without a host, hit nothing. Entries with nulls are left out. Repeated captures are judged
 alike; repeated entries count once. Empty captures give no rows, an empty list no hits. Other columns of
-captures pass through.
+captures pass through, whatever their names; hits and kept replace columns of those names.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ def judge_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fe
     # Hits go back to captures by their whole set of subjects and day, which few captures of a site share.
     sets = marked.select(F.col(day).alias("day"), F.col(mark).alias("set")).where("day IS NOT NULL").distinct()
     by_set = sets.select("day", "set", F.explode("set").alias("subject")).join(found, ["day", "subject"]).groupBy("day", "set").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("hits"))
-    by_set = by_set.withColumnsRenamed({"day": "_d", "set": "_s", "hits": "_h"})
-    out = marked.join(by_set, (F.col(day) == F.col("_d")) & (F.col(mark) == F.col("_s")), "left")
-    hits = F.coalesce(F.col("_h"), F.array().cast("array<string>"))
-    return out.withColumns({"hits": hits, "kept": F.size(hits) == 0}).drop("_d", "_s", "_h", day, mark)
+    own = {name: free_name(captures, f"_found_{name}") for name in ("day", "set", "hits")}
+    by_set = by_set.withColumnsRenamed(own)
+    out = marked.join(by_set, (F.col(day) == F.col(own["day"])) & (F.col(mark) == F.col(own["set"])), "left")
+    hits = F.coalesce(F.col(own["hits"]), F.array().cast("array<string>"))
+    return out.withColumns({"hits": hits, "kept": F.size(hits) == 0}).drop(*own.values(), day, mark)
