@@ -4,12 +4,14 @@ Each line (trimmed; blank ones apart) gets a HyperLogLog sketch of the sites it
 line merge by aggregation, so a line on a third of all pages costs a shuffle row per task, not per
 occurrence. Lines whose estimate is near the threshold get an exact count of distinct sites. A line on
 min_sites sites or more is boilerplate: its first occurrence (least document, then least position) stays,
-the others are cut from their documents.
+the others are cut from their documents. Passages of LONG_WORDS words and more don't recur by chance: their
+threshold is long_sites, if that is given.
 
 Defined cases: a null text stays null and an empty one empty; a null site is a site of its own. Documents
 stay even when all their lines go (their text is then empty). Rows that repeat a doc_id are told apart by
 their text; rows equal in both share one fate. Equal first occurrences all stay. Columns that a caller
-adds pass through; an empty table stays empty. A line's hash has 64 bits.
+adds pass through, whatever their names; n_lines and n_removed replace columns of those names, `cleaned` makes
+none. An empty table stays empty. Texts and lines are read whole. A line's hash has 64 bits.
 """
 
 from __future__ import annotations
@@ -17,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, free_name
+from .common import BLANKS, cut, free_name, words
 
 MIN_SITES = 10
+#: Lines of so many words count as passages; op1 takes LONG_SITES as their threshold. The pipeline doesn't: it
+#: would cut most of the text from copies of whole documents before near-duplicates are looked for.
+LONG_WORDS = 50
+LONG_SITES = 3
 #: 2^LG_K registers; estimates within NEAR of the threshold, as a share of it, are counted exactly.
 LG_K = 10
 NEAR = 0.2
@@ -30,26 +36,34 @@ def _lines(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """A row per line that isn't blank: doc, mark (the text's hash), pos, line (a hash), site (a hash)."""
+    """A row per line that isn't blank: doc, mark (the text's hash), pos, line (a hash), long, site (a hash)."""
     base = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("mark"), F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("null"))).alias("site"), F.posexplode(_lines(F.col(text))).alias("pos", "x"))
-    return base.where("x <> ''").select("doc", "mark", "pos", F.xxhash64("x").alias("line"), "site")
+    # A line of LONG_WORDS words has twice their number of characters, less one: shorter ones aren't split.
+    long = (F.length("x") >= 2 * LONG_WORDS - 1) & (F.size(words(F.col("x"))) >= LONG_WORDS)
+    return base.where("x <> ''").select("doc", "mark", "pos", F.xxhash64("x").alias("line"), long.alias("long"), "site")
 
 
-def spread_lines(rows: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
-    """The lines on at least min_sites sites: line, first (the place that stays)."""
+def spread_lines(rows: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, long_sites: int | None = None) -> DataFrame:
+    """The lines on at least min_sites sites (long_sites for long ones): line, first (the place that stays)."""
     place = F.struct("doc", "mark", "pos")
-    sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(place).alias("first"))
-    judged = sketches.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - near))
+    needed = F.when(F.col("long"), F.lit(min_sites if long_sites is None else long_sites)).otherwise(F.lit(min_sites))
+    sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(place).alias("first"), F.max("long").alias("long"))
+    judged = sketches.select("line", "first", needed.alias("needed"), F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= F.col("needed") * (1 - near))
     judged = cut(judged, "line-spread")
-    unsure = judged.where(F.col("sites") <= min_sites * (1 + near)).select("line", "first")
-    exact = rows.join(unsure.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites).select("line")
-    return judged.where(F.col("sites") > min_sites * (1 + near)).select("line", "first").unionByName(unsure.join(exact, "line", "left_semi"))
+    sure = F.col("sites") > F.col("needed") * (1 + near)
+    unsure = judged.where(~sure)
+    exact = rows.join(unsure.select("line", "needed"), "line").groupBy("line", "needed").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= F.col("needed")).select("line")
+    return judged.where(sure).select("line", "first").unionByName(unsure.select("line", "first").join(exact, "line", "left_semi"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, long_sites: int | None = LONG_SITES) -> DataFrame:
     """docs with boilerplate lines cut from text, and n_lines and n_removed (of lines that aren't blank)."""
+    return _cut_lines(docs, doc_id, text, site, min_sites, long_sites, "n_lines", "n_removed")
+
+
+def _cut_lines(docs: DataFrame, doc_id: str, text: str, site: str, min_sites: int, long_sites: int | None, lines_name: str, removed_name: str) -> DataFrame:
     rows = cut(line_rows(docs, doc_id, text, site), "lines")
-    common = cut(spread_lines(rows, min_sites), "boilerplate")
+    common = cut(spread_lines(rows, min_sites, long_sites=long_sites), "boilerplate")
     here = F.struct("doc", "mark", "pos")
     hits = rows.join(common, "line").where(here != F.col("first")).select("doc", "mark", "pos").distinct()
     hits = hits.groupBy("doc", "mark").agg(F.collect_list("pos").alias("gone"))
@@ -62,23 +76,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(names["_lines"]), i)), "\n")
     joined = joined.withColumn(names["_lines"], F.when(gone.isNotNull(), lines))
     n_lines = F.size(F.filter(_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: x != ""))
-    out = {text: F.when(gone.isNull(), F.col(text)).otherwise(kept), "n_lines": n_lines.cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    out = {text: F.when(gone.isNull(), F.col(text)).otherwise(kept), lines_name: n_lines.cast("long"), removed_name: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     return joined.withColumns(out).drop(*names.values())
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, length: str | None = None) -> DataFrame:
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, long_sites: int | None = None, length: str | None = None) -> DataFrame:
     """docs with the columns they have and boilerplate cut from text; length names a column of text lengths."""
-    out = dedup_lines(docs, doc_id, text, site, min_sites)
+    removed = free_name(docs, "_n_removed")
+    out = _cut_lines(docs, doc_id, text, site, min_sites, long_sites, free_name(docs, "_n_lines"), removed)
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    if {"n_lines", "n_removed"} & {c.lower() for c in docs.columns}:
-        whole = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(site).alias("_site"))
-        out = dedup_lines(whole, "_id", "_text", "_site", min_sites)
-        new = F.col("_row").withField(text, F.col("_text"))
-        if length in docs.columns:
-            new = new.withField(length, F.when(F.col("n_removed") > 0, F.length("_text").cast(docs.schema[length].dataType)).otherwise(F.col(f"_row.{length}")))
-        return out.select(new.alias("_row")).select("_row.*")
-    return out.select(*docs.columns)
+        out = out.withColumn(length, F.when(F.col(removed) > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.select(*[f"`{c}`" for c in docs.columns])
+
+
+def oracle(min_sites: int = MIN_SITES, long_sites: int | None = LONG_SITES) -> str:
+    """The same as SQL."""
+    return ORACLE.format(min_sites=min_sites, long_sites=min_sites if long_sites is None else long_sites, long_words=LONG_WORDS)
 
 
 ORACLE = r"""
@@ -87,7 +100,7 @@ WITH l AS (
   FROM (SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
 b AS (
   SELECT line, min(doc_id) AS d FROM l WHERE line <> '' GROUP BY line
-  HAVING count(DISTINCT coalesce('=' || source, 'null')) >= 10),
+  HAVING count(DISTINCT coalesce('=' || source, 'null')) >= CASE WHEN len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {long_words} THEN {long_sites} ELSE {min_sites} END),
 f AS (SELECT l.line, b.d, min(pos) AS p FROM l JOIN b ON l.line = b.line AND l.doc_id = b.d GROUP BY l.line, b.d),
 m AS (SELECT l.*, f.line IS NOT NULL AND NOT (l.doc_id = f.d AND l.pos = f.p) AS gone FROM l LEFT JOIN f ON l.line = f.line)
 SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,

@@ -121,7 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op1_line_dedup": line_dedup.ORACLE,
+    "op1_line_dedup": line_dedup.oracle(),
     "op2_mixing": mixing.ORACLE,
     "op3_warc": warc.ORACLE,
     "op4_url_filters": OP4_SQL,

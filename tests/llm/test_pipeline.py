@@ -46,7 +46,7 @@ def test_quality_stage(steps):
 
 
 def test_line_stage(steps):
-    want = dict(sql(steps[1], f"SELECT doc_id, text FROM ({line_dedup.ORACLE})"))
+    want = dict(sql(steps[1], f"SELECT doc_id, text FROM ({line_dedup.oracle(long_sites=None)})"))
     assert dict(zip(steps[2].doc_id, steps[2].text)) == want
     assert (steps[2].text.str.len() == steps[2].n_chars).all()
 
