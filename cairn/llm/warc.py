@@ -2,7 +2,8 @@
 
 The writer makes one gzip stream of a whole archive, as many crawlers do. The normaliser inflates such a
 stream once, front to back, writes every record again as a gzip member of its own and puts a sidecar index
-(offset, length, type, record id) beside the archive. Readers then fetch any record by its offset.
+(offset, length, type, record id: a line each) beside the archive. It gives back the byte range in the index of
+each run of records, so a reader fetches its own lines of the index and then any record by its offset.
 
 Records with equal payloads of at least MIN_REVISIT bytes are stored once: the one with the largest page_id
 is a response, the others are revisits that refer to it (identical-payload-digest profile).
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST = "archive string, records long, bytes long"
+#: A row per run of records of an archive: how many, and where their lines stand in its index.
+RUNS = "archive string, records long, index_from long, index_to long"
+RUN_RECORDS = 2000
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, payload binary"
 
 
@@ -64,6 +69,13 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def header(raw: bytes, name: bytes) -> str:
+    """The value of a header of a record, by its exact name."""
+    top = raw[: raw.find(b"\r\n\r\n") + 2]
+    at = top.index(b"\r\n" + name + b": ") + len(name) + 4
+    return top[at : top.index(b"\r\n", at)].decode()
+
+
 def parse_record(raw: bytes) -> dict:
     """Headers (lower-case names), block and payload of one record; the payload's digest is verified."""
     top, _, rest = raw.partition(b"\r\n\r\n")
@@ -169,23 +181,32 @@ def inflate(stream):
         yield out
 
 
-def _normalise(folder: str):
+def _runs(path: str, ends: list[int], step: int):
+    """ends: for each record where its line in the index ends."""
+    firsts = range(0, len(ends), step)
+    lasts = [min(k + step, len(ends)) for k in firsts]
+    begins = [ends[k - 1] if k else 0 for k in firsts]
+    columns = [pa.array([path] * len(lasts), pa.string()), pa.array([b - a for a, b in zip(firsts, lasts)], pa.int64()), pa.array(begins, pa.int64()), pa.array([ends[b - 1] for b in lasts], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["archive", "records", "index_from", "index_to"])
+
+
+def _normalise(folder: str, step: int):
     def run(batches):
         for batch in batches:
             for source in batch.column("archive").to_pylist():
                 name = source.rpartition("/")[2]
-                target, index, n = _Target(f"{folder}/{name}"), _Target(f"{folder}/{name}.idx"), 0
+                target, index, ends = _Target(f"{folder}/{name}"), _Target(f"{folder}/{name}.idx"), array("q")
                 fs, path = open_files(source)
                 with fs.open_input_stream(path, compression=None) as stream:
                     for raw in split_records(inflate(stream)):
                         gz = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
                         member = gz.compress(raw) + gz.flush()
-                        index.write(f"{target.size} {len(member)}\n".encode())
+                        index.write(f"{target.size} {len(member)} {header(raw, b'WARC-Type')} {header(raw, b'WARC-Record-ID')}\n".encode())
                         target.write(member)
-                        n += 1
+                        ends.append(index.size)
                 target.close()
                 index.close()
-                yield _manifest(f"{folder}/{name}", n, target.size)
+                yield _runs(f"{folder}/{name}", ends, step)
 
     return run
 
@@ -199,10 +220,11 @@ def _read(with_payload: bool):
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
 
         for batch in batches:
-            for archive, first, last in zip(*(batch.column(c).to_pylist() for c in ("archive", "first", "last"))):
+            for archive, begin, end in zip(*(batch.column(c).to_pylist() for c in ("archive", "index_from", "index_to"))):
                 fs, path = open_files(archive)
-                with fs.open_input_stream(f"{path}.idx", compression=None) as f:
-                    places = [tuple(map(int, x.split())) for x in f.read().decode().splitlines()[first:last]]
+                with fs.open_input_file(f"{path}.idx") as f:
+                    f.seek(begin)
+                    places = [tuple(map(int, x.split()[:2])) for x in f.read(end - begin).decode().splitlines()]
                 rows, held = [], 0
                 with fs.open_input_file(path) as f:
                     for offset, size in places:
@@ -236,18 +258,16 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return cut(ordered.mapInArrow(_write(folder), MANIFEST), "warc-written")
 
 
-def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Rewrites each archive of manifest below folder with a member per record and an index beside it."""
+def normalise_archives(manifest: DataFrame, folder: str, step: int = RUN_RECORDS) -> DataFrame:
+    """Rewrites each archive of manifest below folder with a member per record and an index beside it; a row per run of step records."""
     n = max(1, manifest.count())
-    return cut(manifest.repartition(n, "archive").mapInArrow(_normalise(folder), MANIFEST), "warc-normalised")
+    return cut(manifest.repartition(n, "archive").mapInArrow(_normalise(folder, step), RUNS), "warc-normalised")
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = True, step: int = 2000) -> DataFrame:
-    """A row per record of normalised archives, read by offset in runs of step records."""
-    runs = manifest.select("archive", "records", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("records") - 1, F.lit(0)), F.lit(step).cast("long"))).alias("first"))
-    runs = runs.where("records > 0").select("archive", "first", F.least(F.col("first") + step, F.col("records")).alias("last"))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(n, "archive", "first").mapInArrow(_read(with_payload), RECORDS)
+def read_archives(runs: DataFrame, with_payload: bool = True) -> DataFrame:
+    """A row per record of normalised archives, read by offset run by run."""
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(n, "archive", "index_from").mapInArrow(_read(with_payload), RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, with_payload: bool = False) -> DataFrame:
