@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import bagminhash, extraction, line_dedup, mixing, ogg, packing, quality, token_store, url_filters, warc
-from cairn.llm.common import fresh_path
+from cairn.llm.common import fresh_path, shared_folder, thinned
 from cairn.llm.encoding import encoder
 from cairn.llm.queries import tokenizer_file
 
@@ -51,6 +52,22 @@ def test_quality_with_clashing_columns(docs):
     assert got.columns == clash.columns and {r["kept"] for r in got.collect()} == {"mine"}
 
 
+def test_quality_with_names_of_its_own_columns(docs):
+    clash = docs
+    for c in ("_w", "_h", "_lines", "_p", "_s", "_twice", "_x_words", "_x_alive0", "n_words"):
+        clash = clash.withColumn(c, F.lit("mine"))
+    good = sorted(r["doc_id"] or 0 for r in quality.keep_good(docs).collect())
+    got = quality.keep_good(clash, order=(*quality.RULES[::-1], *quality.BASE)).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == good and all(set(r[3:]) == {"mine"} for r in got)
+    judged = quality.judge(clash, order=quality.RULES)
+    assert set(clash.columns) <= set(judged.columns) and all(r["_x_words"] == "mine" and r["n_words"] != "mine" for r in judged.collect())
+
+
+def test_rule_sample_needs_no_exchange(docs):
+    plan = docs.sample(0.2, seed=7).coalesce(1).limit(5).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 0
+
+
 def test_rule_order_does_not_change_verdicts(docs):
     a = quality.judge(docs, order=quality.RULES).select("doc_id", "kept").collect()
     b = quality.judge(docs, order=quality.RULES[::-1]).select("doc_id", "kept").collect()
@@ -70,12 +87,34 @@ def test_lines_on_many_sites_go_but_for_the_first(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_long_passages_go_from_three_sites_on(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, f"own {i}\n{passage}", f"s{i % 3}") for i in range(6)] + [(10 + i, f"{passage} two", f"s{i % 2}") for i in range(6)] + [(20, LONG, "a"), (20, LONG, "a")]
+    df = spark.createDataFrame(rows, DOCS)
+    for c in ("_lines", "_gone", "_doc", "_mark", "_n_lines", "_n_removed"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = [(r["doc_id"], r["text"], r["_lines"]) for r in line_dedup.dedup_lines(df).collect()]
+    want = [(i, t if i in (0, 20) or i >= 10 else f"own {i}", "mine") for i, t, _ in rows]
+    assert sorted(got) == sorted(want)
+    plain = line_dedup.cleaned(df)
+    assert plain.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in plain.collect()) == sorted(r[:2] for r in rows)
+
+
 def test_spread_near_the_threshold_is_exact(spark):
     rows = [(100 * n + i, f"line {n}", f"s{i}") for n in range(7, 14) for i in range(n)]
     lines = line_dedup.line_rows(spark.createDataFrame(rows, DOCS), "doc_id", "text", "source")
     assert line_dedup.spread_lines(lines).count() == 4
 
 
+def test_thinned_rows_hold_all_wanted_ones(spark):
+    df = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(1).alias("_x_bucket"))
+    wanted = df.where("_x_bucket = 1 and k like '%77%'").select("k")
+    got = {r["k"] for r in thinned(df, wanted, "k").collect()}
+    want = {f"k{i}" for i in range(20000) if "77" in str(i)}
+    assert want <= got and len(got) < len(want) + 20
+    assert thinned(df, wanted.limit(0), "k").count() == 0
+
+
 @pytest.mark.parametrize("block", [512, 4])
 def test_near_duplicates_by_brute_force(spark, none, monkeypatch, block):
     monkeypatch.setattr(bagminhash, "BLOCK", block)
@@ -110,6 +149,7 @@ def test_near_duplicates_by_brute_force(spark, none, monkeypatch, block):
     assert kept.columns == df.columns and kept.count() == len(least)
     if block == 4:
         return
+    assert not [x for x in os.listdir(shared_folder(spark).removeprefix("file://") + "/cairn") if x.split("-")[0] in ("signatures", "texts", "bands", "edges", "members")]
     again = df.withColumn("root", F.lit(0)).unionByName(df)
     assert {r["root"] for r in bagminhash.keep_one(again).collect()} == {0} and bagminhash.keep_one(again).count() == len(least)
     assert sorted(((r["doc_id"], r["class_id"]) for r in bagminhash.near_duplicates(df, least_agreement=0.0).collect()), key=str) == sorted(want, key=str)
@@ -164,6 +204,12 @@ def test_mix_targets_and_thresholds(spark, docs, none):
         assert abs(taken[n] - want[n]) <= 9 or n == "tiny"
     mixed = mixing.take_mix(docs.withColumn("copies", F.lit(7)))
     assert mixed.columns == [*docs.columns, "copies"]
+    clash = docs
+    for c in ("_id", "_src", "_copies", "_copy", "_x_key", "_x_copies"):
+        clash = clash.withColumn(c, F.lit("mine"))
+    wanted = sorted((str(r["doc_id"]), str(r["source"])) for r in mixing.plan_mix(docs).collect() for _ in range(r["copies"]))
+    taken = mixing.take_mix(clash).collect()
+    assert sorted((str(r["doc_id"]), str(r["source"])) for r in taken) == wanted and all(set(r[3:]) == {"mine"} for r in taken)
     assert mixing.plan_mix(docs).count() == len(ROWS) and mixing.plan_mix(none).count() == 0 and mixing.take_mix(none).count() == 0
 
 
@@ -303,6 +349,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_index_names_each_record(spark):
+    rows = [(i, f"http://h/{i}", LONG * 20 if i == 3 else "x" * (1500 if i % 2 else i)) for i in range(11)] + [(4, "http://h/4", "xxxx")]
+    folder = fresh_path(spark, "warc-test")
+    written = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{folder}/whole")
+    runs = warc.normalise_archives(written, f"{folder}/records", step=5)
+    found = sorted(runs.collect(), key=lambda r: r["index_from"])
+    assert [r["records"] for r in found] == [5, 5, 2] and found[0]["index_from"] == 0
+    path = found[0]["archive"].removeprefix("file://")
+    data, index = open(path, "rb").read(), open(path + ".idx").read()
+    assert len(index) == found[-1]["index_to"]
+    at = 0
+    for line in index.splitlines():
+        offset, size, kind, urn = line.split(" ")
+        record = zlib.decompress(data[int(offset) : int(offset) + int(size)], 31)
+        assert int(offset) == at and f"WARC-Type: {kind}\r\n".encode() in record and f"WARC-Record-ID: {urn}\r\n".encode() in record
+        at += int(size)
+    assert at == len(data)
+    got = Counter((r["page_id"], r["payload"]) for r in warc.read_archives(runs).collect() if r["record_type"] == "response")
+    assert got[(3, (LONG * 20).encode())] == 1 and got[(4, b"xxxx")] == 2 and sum(got.values()) == 9
+
+
 def test_warc_records_split_at_any_piece():
     whole = b"".join(warc.build_record(i, None, b"p\r\n\r\nq" * i, hashlib.sha1(b"p\r\n\r\nq" * i).hexdigest(), None, False) for i in range(5))
     for n in (1, 7, 64, 10_000):
@@ -319,4 +386,6 @@ def test_url_lists_hold_at_fetch_time(spark):
     got = {r["i"]: (r["kept"], r["hits"]) for r in url_filters.judge_captures(c, e).collect()}
     assert [i for i, (kept, _) in got.items() if not kept] and {i for i, (kept, _) in got.items() if not kept} == {1, 2, 4, 7}
     assert got[1][1] == ["spam=domain:bad.org"] and len(got) == len(urls)
+    clash = url_filters.judge_captures(c.select("*", *[F.lit("mine").alias(x) for x in ("_d", "_s", "_h", "_day", "_subjects", "_found_hits", "hits")]), e).collect()
+    assert {r["i"]: (r["kept"], r["hits"]) for r in clash} == got and all(r["_d"] == r["_found_hits"] == r["_subjects"] == "mine" for r in clash)
     assert url_filters.judge_captures(c.limit(0), e).count() == 0 and url_filters.judge_captures(c, e.limit(0)).where("kept").count() == len(urls)
