@@ -34,16 +34,17 @@ def column(call: ast.Call) -> dict | None:
     name = next(iter(_texts(call.args[:1])), None)
     if name is None:
         return None
-    kind, table, target = None, None, None
-    for a in call.args[1:]:
-        made = _last(a.func) if isinstance(a, ast.Call) else _last(a)
-        if made == "ForeignKey":
-            table, _, target = (next(iter(_texts(a.args)), "")).rpartition(".")
-        elif made and kind is None and made not in ("Identity", "Computed", "Sequence"):
-            kind = made.upper()
-    key = bool(_flag(call, "primary_key"))
+    rest = call.args[1:]
+    # The type is the second argument, named as the source names it.
+    kind = _last(rest[0].func if isinstance(rest[0], ast.Call) else rest[0]) if rest else ""
+    table, target = None, None
+    for a in rest:
+        if isinstance(a, ast.Call) and _last(a.func) == "ForeignKey":
+            whole = next(iter(_texts(a.args)), "")
+            table, target = whole.rpartition(".")[::2] if "." in whole else (whole, None)
+            break
     default = _keyword(call, "server_default") or _keyword(call, "default")
-    return {"name": name, "data_type": kind, "nullable": False if key else _flag(call, "nullable"), "primary_key": key, "unique": bool(_flag(call, "unique")), "default": ast.unparse(default) if default is not None else None, "references_table": table or None, "references_column": target or None}
+    return {"name": name, "data_type": kind or None, "nullable": _flag(call, "nullable"), "primary_key": bool(_flag(call, "primary_key")), "unique": bool(_flag(call, "unique")), "default": ast.unparse(default) if default is not None else None, "references_table": table or None, "references_column": target or None}
 
 
 def constraint(call: ast.Call) -> dict | None:
@@ -94,4 +95,4 @@ def migrations(path: str, text: str) -> Iterator[dict]:
             columns = fold([c for c in (column(a) for a in made if _last(a.func) == "Column") if c], constraints)
             yield {"kind": "table", "ord": k, "id": f"table::{path}::{target}", "name": target, "columns": columns, "constraints": constraints, "source_file": path, "source_location": f"L{call.lineno}"}
     if done:
-        yield {"kind": "migration", "ord": 0, "id": f"migration::{path}", "name": path.rpartition("/")[2].removesuffix(".py"), "operations": done, "source_file": path}
+        yield {"kind": "migration", "ord": 0, "id": f"migration::{path}", "name": path.rpartition("/")[2], "operations": done, "source_file": path}

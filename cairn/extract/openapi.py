@@ -6,13 +6,13 @@ import json
 from collections.abc import Iterator
 
 OPERATIONS = "spec_file string, ord int, method string, path string, operation_id string, summary string, description string, tags array<string>, parameters array<string>, response_codes array<string>, request_schema string"
-# Fixed values.
-METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
+# The verbs of operations.
+METHODS = frozenset({"get", "post", "put", "patch", "delete", "head", "options", "trace"})
 HEAD = 4000
 
 
 def looks_like_spec(text: str) -> bool:
-    head = text[:HEAD].lower()
+    head = text[:HEAD]
     return ("openapi" in head or "swagger" in head) and "paths" in text
 
 
@@ -39,20 +39,20 @@ def schema_name(schema) -> str | None:
         return None
     if isinstance(schema.get("$ref"), str):
         return schema["$ref"].rpartition("/")[2] or None
-    if schema.get("type") == "array":
-        inner = schema_name(schema.get("items"))
-        return f"{inner}[]" if inner else "array"
+    items = schema.get("items")
+    if isinstance(items, dict) and isinstance(items.get("$ref"), str):  # elements without a reference have no name
+        return f"{items['$ref'].rpartition('/')[2]}[]"
     return _text(schema.get("type"))
 
 
 def request_schema(body: dict) -> str | None:
     request = body.get("requestBody")
     if isinstance(request, dict):
-        if "$ref" in request:
-            return schema_name(request)
-        for media in (request.get("content") or {}).values():
+        content = request.get("content")
+        for media in content.values() if isinstance(content, dict) else ():
             if isinstance(media, dict) and (found := schema_name(media.get("schema"))):
                 return found
+        return request["$ref"].rpartition("/")[2] or None if isinstance(request.get("$ref"), str) else None
     for p in body.get("parameters") or []:
         if isinstance(p, dict) and p.get("in") == "body":
             return schema_name(p.get("schema"))
@@ -71,12 +71,11 @@ def operations(path: str, text: str) -> Iterator[dict]:
     for route, item in (document or {"paths": {}})["paths"].items():
         if not isinstance(item, dict):
             continue
-        for method in METHODS:
-            body = item.get(method)
-            if not isinstance(body, dict):
+        for method, body in item.items():
+            if str(method).lower() not in METHODS or not isinstance(body, dict):
                 continue
             yield {
-                "spec_file": path, "ord": k, "method": method.upper(), "path": f"{base}{route}", "operation_id": _text(body.get("operationId")), "summary": _text(body.get("summary")), "description": _text(body.get("description")),
+                "spec_file": path, "ord": k, "method": str(method).upper(), "path": f"{base}{route}", "operation_id": _text(body.get("operationId")), "summary": _text(body.get("summary")), "description": _text(body.get("description")),
                 "tags": [t for t in map(_text, body.get("tags") or []) if t], "parameters": list(dict.fromkeys(names(item.get("parameters")) + names(body.get("parameters")))),
                 "response_codes": [str(c) for c in body.get("responses") or {}], "request_schema": request_schema(body),
             }
