@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.coerce import as_json
@@ -44,6 +44,11 @@ def with_data(rows: DataFrame) -> DataFrame:
     return rows.withColumn("data", as_json(*rows.columns))
 
 
+def content_key(rows: DataFrame, ids: tuple[str, ...] = ("id", "module_id")) -> Column:
+    """A hash of what a row says without its ids: rows of equal content have equal keys."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) for c in rows.columns if c not in ids])
+
+
 def scan(catalog: Catalog, relation: str) -> DataFrame:
     return catalog[relation].orderBy("id")
 

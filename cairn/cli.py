@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shlex
 import sys
 
 from cairn.kb import KnowledgeBase
@@ -25,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(*names, **options)
 
     number = lambda name, default: ([name], {"type": int, "default": default})
-    command("build", (["repo"], {}), (["-o", "--output"], {"required": True}), (["--graph"], {}), (["--strict"], {"action": "store_true"}), (["-v", "--verbose"], {"action": "store_true"}), kb=False)
+    command("build", (["repo"], {}), (["-o", "--output"], {"required": True}), (["--graph"], {}), (["-w", "--workspace"], {}), (["--graph-command"], {"help": "program that writes the graph; {repo} stands for the repository"}), (["--no-build-graph"], {"action": "store_true"}), (["--rebuild"], {"action": "store_true"}), (["--agents-doc"], {"action": "store_true"}), (["--no-agents-doc"], {"action": "store_true"}), (["--strict"], {"action": "store_true"}), (["-v", "--verbose"], {"action": "store_true"}), kb=False)
     for name in ("validate", "inspect", "stats"):
         command(name)
     command("symbols", (["name"], {"nargs": "?"}), (["--kind"], {}), number("--limit", 25), (["--coverage"], {"action": "store_true"}))
@@ -37,12 +38,23 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+#: Up to so many symbols of a name are shown in full.
+FEW = 5
+
+
+def detail(row) -> str:
+    """All that is known of a symbol, a line each."""
+    return "\n".join(f"{k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in row.asDict().items() if v not in (None, "", []))
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = get_session()
     if a.command == "build":
         try:
-            out, said = build(spark, Config(a.repo, a.graph, a.output, a.strict), print if a.verbose else None)
+            command = None if a.no_build_graph or not a.graph_command else tuple(shlex.split(a.graph_command))
+            config = Config(a.repo, a.graph, a.output, a.strict, workspace=a.workspace, graph_command=command, rebuild=a.rebuild, agents_doc=a.agents_doc and not a.no_agents_doc)
+            out, said = build(spark, config, print if a.verbose else None)
         except BuildError as e:
             print(e, file=sys.stderr)
             return 1
@@ -62,7 +74,12 @@ def main(argv: list[str] | None = None) -> int:
         case "stats":
             print(json.dumps(kb.stats(), default=str))
         case "symbols":
-            (kb.coverage() if a.coverage else kb.symbols(a.name, a.kind, a.limit)).show(a.limit, False)
+            few = kb.symbols(a.name, a.kind, FEW + 1).collect() if a.name and not a.coverage else []
+            if 0 < len(few) <= FEW:
+                for row in few:
+                    print(detail(row), end="\n\n")
+            else:
+                (kb.coverage() if a.coverage else kb.symbols(a.name, a.kind, a.limit)).show(a.limit, False)
         case "query":
             kb.query(a.text, a.limit, expand_kinds(a.kind)).show(a.limit, False)
         case "context":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# The verbs, and the patterns of a path parameter and of a first text argument.
 HTTP_METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 PARAMETER = r"[{<:][^}>/]*[}>]?"
 FIRST_TEXT = r"""\(\s*[rbuf]*["']([^"']*)["']"""

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from cairn import catalog as store
 from cairn.functions.paths import ascii_lower
 from cairn.operators import aggs, checks
+from cairn.plans import registry
 from cairn.schemas import SCHEMA_VERSION
 from cairn.search import hybrid, index, render
+from cairn.operators.graph import adjacency
 from cairn.search.tokens import count_tokens, tokenizer_name
 from cairn.sources.files import repo_files
 
@@ -22,16 +24,18 @@ class KnowledgeBase:
     """Opens a folder that the build wrote. Lookups return a Row or None, listings DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, catalog: store.Catalog | None = None):
-        self.spark = spark
+        self.spark, self.folder = spark, folder
         self.catalog = catalog if catalog is not None else store.read(spark, folder)
         self._index: DataFrame | None = None
+        self._graph: tuple[DataFrame, DataFrame] | None = None
 
     def __enter__(self) -> "KnowledgeBase":
         return self
 
     def __exit__(self, *_: object) -> None:
-        if self._index is not None:
-            self._index.unpersist()
+        for kept in (self._index, *(self._graph or ())):
+            if kept is not None:
+                kept.unpersist()
 
     @property
     def index(self) -> DataFrame:
@@ -39,6 +43,14 @@ class KnowledgeBase:
             self._index = index.build_index(self.catalog).persist()
         return self._index
 
+    @property
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """(tokens of nodes, neighbours), made once for all questions."""
+        if self._graph is None:
+            c = self.catalog
+            self._graph = hybrid.node_tokens(c["graph_nodes"], c["symbols"]).persist(), adjacency(c["relationships"]).persist()
+        return self._graph
+
     def _by(self, relation: str, column: str, value: str):
         """A point lookup that folds ASCII letters, then one on trimmed lower-case text; the least id of several."""
         rows = self.catalog[relation]
@@ -72,6 +84,17 @@ class KnowledgeBase:
     def migrations(self) -> DataFrame:
         return self.catalog["db_migrations"].orderBy("id")
 
+    def dialect(self) -> str | None:
+        """The SQL dialect of the repository, if a technology tells it."""
+        row = registry.dialect(self.catalog["db_technologies"]).first()
+        return row["dialect"] if row else None
+
+    def insights(self) -> DataFrame:
+        """(kind, text): surprises, questions and central nodes that came with the graph."""
+        if self.folder is None:
+            return self.spark.createDataFrame([], "kind string, text string")
+        return self.spark.read.schema("kind string, text string").parquet(f"{self.folder}/insights")
+
     def apis(self, with_controllers: bool = False) -> DataFrame:
         rows = self.catalog["apis"]
         if with_controllers:
@@ -102,7 +125,7 @@ class KnowledgeBase:
         return self.catalog["file_hashes"]
 
     def stats(self) -> dict:
-        return self.metadata() | {"counts": {r["relation"]: r["n"] for r in store.counts(self.catalog).collect()}}
+        return self.metadata() | {"dialect": self.dialect(), "counts": {r["relation"]: r["n"] for r in store.counts(self.catalog).collect()}}
 
     def validate(self) -> DataFrame:
         return checks.validate(self.catalog, SCHEMA_VERSION).orderBy("level", "code", "message")
@@ -121,7 +144,7 @@ class KnowledgeBase:
     def hybrid(self, question: str, repo: str, limit: int = 8, hops: int = 1, max_symbols: int = 40, max_lines: int = 60, code_budget: int = 2000) -> dict:
         """The context and slices of code of the symbols that the graph leads to, within a token budget."""
         c = self.catalog
-        found = hybrid.retrieve(c["graph_nodes"], c["relationships"], c["symbols"], question, hops, max_symbols)
+        found = hybrid.retrieve(*self.graph, c["symbols"], question, hops, max_symbols)
         code = hybrid.slices(found, c["symbols"], repo_files(self.spark, repo), max_lines)
         kept = hybrid.within_budget(code, count_tokens, code_budget)
         rows = kept.select("id", "source_file", "start", "end", "cost").collect()

@@ -28,6 +28,17 @@ def call_degree(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return into.join(out, "id", "full_outer").select("id", zero("fan_in"), zero("fan_out"))
 
 
+def call_stats(added: DataFrame) -> DataFrame:
+    """One row: added, the number of edges, and callers, that of their distinct sources."""
+    return added.agg(F.count("*").alias("added"), F.count_distinct("source_id").alias("callers"))
+
+
+def god_symbols(modules: DataFrame, symbols: DataFrame, gods: DataFrame) -> DataFrame:
+    """(id, god_nodes): the sorted labels, repeats too, of a module's symbols that gods (id) has."""
+    rows = modules.select(F.col("id").alias("_m"), F.explode("symbol_ids").alias("id")).join(gods.select("id").distinct(), "id", "left_semi").join(symbols.select("id", "label"), "id")
+    return rows.groupBy(F.col("_m").alias("id")).agg(F.array_sort(F.collect_list("label")).alias("god_nodes"))
+
+
 def components(symbols: DataFrame) -> DataFrame:
     """A row per role and file of role symbols: role, source_file, name, symbol_ids."""
     r = symbols.withColumn("role", paths.role(F.col("source_file"), F.col("label"), F.col("kind"))).where("role IS NOT NULL AND role <> 'api'")

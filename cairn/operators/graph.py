@@ -14,25 +14,38 @@ SEEDS = 40
 CUT_EVERY = 16
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(a, b) for each edge in both directions, parallel edges as often as they stand."""
+    e = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct neighbours (a, b) in both directions; a loop is its own neighbour."""
-    e = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return both_ways(edges).distinct()
+
+
+def frontier(seeds: DataFrame, width: int = SEEDS) -> DataFrame:
+    """The best seeds (id, score), the least id of equals first."""
+    return seeds.orderBy(F.desc("score"), "id").limit(width).select("id", "score")
 
 
 def expand(seeds: DataFrame, near: DataFrame, hops: int = 1, width: int = SEEDS) -> DataFrame:
     """(id, score): seeds (id, score) and what their neighbours add.
 
-    The best seeds make the frontier. A hop adds score * 0.5^(hop + 1) to each neighbour, unless that is
-    under 0.15; the neighbours, with the largest score that reached them undecayed, are the next frontier.
+    near is (a, b), with or without repeats: neighbours are made distinct behind the join with the frontier,
+    which is small. The best seeds make the frontier. A hop adds score * 0.5^(hop + 1) to each neighbour,
+    unless that is under 0.15; the neighbours, with the largest score that reached them undecayed, are the
+    next frontier.
     """
     total = seeds.select("id", "score")
-    frontier = seeds.orderBy(F.desc("score"), "id").limit(width).select("id", "score")
+    # The first frontier has width rows at most; later ones are joined as their sizes allow.
+    front = F.broadcast(frontier(seeds, width))
     for h in range(hops):
-        reached = frontier.withColumn("c", F.col("score") * DECAY ** (h + 1)).where(F.col("c") >= LEAST).join(near, F.col("id") == F.col("a"))
+        reached = near.join(front.withColumn("c", F.col("score") * DECAY ** (h + 1)).where(F.col("c") >= LEAST), F.col("id") == F.col("a")).select("a", "b", "c", "score").distinct()
         step = reached.groupBy(F.col("b").alias("id")).agg(F.sum("c").alias("c"), F.max("score").alias("score"))
         total = total.unionByName(step.select("id", F.col("c").alias("score")))
-        frontier = step.select("id", "score")
+        front = step.select("id", "score")
     return total.groupBy("id").agg(F.sum("score").alias("score"))
 
 

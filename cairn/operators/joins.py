@@ -1,7 +1,7 @@
 """Joins and lookups over node, edge and entity relations.
 
 All take DataFrames and return DataFrames. Theta joins (suffix, prefix) explode the possible keys of one
-side, so that they run as equality joins; nearest joins are an equality join and a min_by.
+side, so that they run as equality joins; nearest joins are windows over both sides in one order.
 """
 
 from __future__ import annotations
@@ -62,14 +62,21 @@ def keep_foreign(owners: DataFrame, column: str, valid: DataFrame) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, left_id: str, right_id: str) -> DataFrame:
     """For each row of left the row of right with equal keys whose at is nearest; the least (at, id) wins ties.
 
-    Returns left_id, right_id and distance; rows without a partner are absent.
+    Both sides stand in one order of time per key, and each row of left takes the last row of right before it
+    and the first behind it: a busy key is sorted, never paired with itself. Returns left_id, right_id and
+    distance; rows without a partner are absent.
     """
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(at).alias("_r_at"), F.col(right_id).alias("_r_id"))
-    on = [F.col(k) == F.col(f"_r_{k}") for k in keys]
-    distance = F.abs(F.col("_r_at") - F.col(at))
-    both = left.join(r, on).where(distance.isNotNull())
-    best = both.groupBy(left_id).agg(F.min(F.struct(distance.alias("d"), F.col("_r_at").alias("t"), F.col("_r_id").alias("r"))).alias("b"))
-    return best.select(left_id, F.col("b.r").alias(right_id if right_id != left_id else f"{right_id}_right"), F.col("b.d").alias("distance"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    named = lambda df: df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in ("_at", "_right", "_left") if c in df.columns])
+    r = named(right.select("*", F.col(at).alias("_at"), F.col(right_id).alias("_right"))).where("_at IS NOT NULL").groupBy(*names, "_at").agg(F.min("_right").alias("_right"))
+    l = named(left.select("*", F.col(at).alias("_at"), F.col(left_id).alias("_left"))).where("_at IS NOT NULL")  # noqa: E741
+    both = r.withColumns({"_left": F.lit(None).cast(left.schema[left_id].dataType), "_side": F.lit(0)}).unionByName(l.withColumns({"_right": F.lit(None).cast(right.schema[right_id].dataType), "_side": F.lit(1)}))
+    place = F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("t"), F.col("_right").alias("r")))
+    so_far = lambda order: F.last(place, ignorenulls=True).over(Window.partitionBy(*names).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumns({"_before": so_far(F.asc("_at")), "_behind": so_far(F.desc("_at"))}).where("_side = 1")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("_at")).alias("d"), F.col(f"{c}.t").alias("t"), F.col(f"{c}.r").alias("r")))
+    best = found.select(F.col("_left"), F.least(far("_before"), far("_behind")).alias("b")).where("b IS NOT NULL").groupBy("_left").agg(F.min("b").alias("b"))
+    return best.select(F.col("_left").alias(left_id), F.col("b.r").alias(right_id if right_id != left_id else f"{right_id}_right"), F.col("b.d").alias("distance"))
 
 
 def match_definitions(symbols: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -174,3 +181,9 @@ def base_classes(edges: DataFrame, order: str = "ord") -> DataFrame:
     """(id, bases): the targets of inherits edges in edge order."""
     e = edges.where("relation = 'inherits'").groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(order, "target_id"))).alias("_b"))
     return e.select("id", F.transform("_b", lambda b: b["target_id"]).alias("bases"))
+
+
+def without(rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """rows whose key isn't in others (one column)."""
+    o = others.select(F.col(others.columns[0]).alias("_m")).distinct()
+    return rows.join(o, F.col(key) == F.col("_m"), "left_anti")

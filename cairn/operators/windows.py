@@ -34,24 +34,30 @@ def widen_names(modules: DataFrame) -> DataFrame:
     """modules (id, name, source_paths, candidates) with colliding names made distinct.
 
     Names are given one after the other against all names taken so far, which no set operation expresses.
-    The colliding groups alone come to the driver, with the names that they could meet; there are as many
-    as modules that share a name.
+    Only modules that share a name come to the driver, and of the other names those that they could meet:
+    their candidates, and numbered forms of their own names.
     """
     clash = collisions(modules.select("id", "name", "source_paths", "candidates"), "name").orderBy("name", "id").collect()
     if not clash:
         return modules.drop("candidates")
-    taken = {r["name"] for r in modules.select("name").distinct().collect()}
+    spark = modules.sparkSession
+    fixed = {x for r in clash for x in _wider(r["name"], r["source_paths"] or [], r["candidates"] or [], False)} | {r["name"] for r in clash}
+    names = modules.select("name").distinct().withColumn("_base", F.regexp_extract("name", r"^(.*) \d+$", 1))
+    could = spark.createDataFrame([(x,) for x in sorted(fixed)], "_name string")
+    bases = spark.createDataFrame([(x,) for x in sorted({r["name"] for r in clash})], "_name string")
+    met = names.join(could, F.col("name") == F.col("_name"), "left_semi").select("name").unionByName(names.join(bases, F.col("_base") == F.col("_name"), "left_semi").select("name"))
+    taken = {r["name"] for r in met.distinct().collect()}
     given: list[tuple[str, str]] = []
     for row in clash:
         new = next(n for n in _wider(row["name"], row["source_paths"] or [], row["candidates"] or []) if n not in taken)
         taken.add(new)
         given.append((row["id"], new))
-    names = modules.sparkSession.createDataFrame(given, "id string, _new string")
+    names = spark.createDataFrame(given, "id string, _new string")
     return modules.join(names, "id", "left").withColumn("name", F.coalesce("_new", "name")).drop("_new", "candidates")
 
 
-def _wider(base: str, source_paths: Sequence[str], symbols: Sequence[str]):
-    """Candidates: two to four trailing directories of the first path, symbol names, then numbers."""
+def _wider(base: str, source_paths: Sequence[str], symbols: Sequence[str], numbered: bool = True):
+    """Candidates: two to four trailing directories of the first path, symbol names, then numbers without end."""
     parts = [p for p in (source_paths[0].split("/")[:-1] if source_paths else []) if p not in ("", ".")]
     for n in range(2, 5) if len(parts) > 1 else range(1, 2):
         words: list[str] = []
@@ -65,6 +71,6 @@ def _wider(base: str, source_paths: Sequence[str], symbols: Sequence[str]):
         if not s.startswith("_"):
             yield f"{base} {s}"
     n = 2
-    while True:
+    while numbered:
         yield f"{base} {n}"
         n += 1

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import fnmatch
-import re
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn import catalog as store
-from cairn.extract import alembic, ddl, mounts, openapi, python_source
+from cairn.extract import alembic, block_source, ddl, mounts, openapi, python_source
 from cairn.extract.run import extract
 from cairn.functions import coerce, paths, routes
 from cairn.operators import aggs, checks, graph, joins, windows
 from cairn.schemas import SCHEMA_VERSION
 from cairn.session import cut_lineage
 from cairn.sources import files as file_source
-from cairn.sources import graph_json
+from cairn.sinks import agents_doc as agents_doc_sink
+from cairn.sources import graph_build, graph_json
 
 from .config import BuildError, Config, Diagnostics, ValidationError
-from .registry import CONTENT_SUFFIXES, MANIFESTS, REGISTRY
+from . import registry
 
 #: Issues of a code that the diagnostics list; the table of issues has all.
 SHOWN = 100
@@ -33,9 +33,9 @@ Pass = Callable[[store.Catalog, SparkSession, Config], store.Catalog]
 
 
 def synthesize(c: store.Catalog) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of Python files where no graph is given: files, definitions, contains, inherits and imports."""
+    """Nodes and edges of source files where no graph is given: files, definitions, contains, and for Python inherits and imports."""
     d = c["_definitions"]
-    files = c["_files"].where(F.col("path").endswith(".py")).select(F.col("path").alias("id"), F.col("path").alias("label"), F.lit("code").alias("file_type"), F.col("path").alias("source_file"), F.lit(None).cast("string").alias("source_location"))
+    files = c["_files"].where(is_source()).select(F.col("path").alias("id"), F.col("path").alias("label"), F.lit("code").alias("file_type"), F.col("path").alias("source_file"), F.lit(None).cast("string").alias("source_location"))
     ident = F.concat("source_file", F.lit("::"), "qualified_name")
     defs = d.select(ident.alias("id"), F.when(F.col("kind") == "class", F.col("name")).otherwise(F.concat("name", F.lit("()"))).alias("label"), F.lit("code").alias("file_type"), "source_file", F.concat(F.lit("L"), "start_line").alias("source_location")).dropDuplicates(["id"])
     contains = d.select(F.col("source_file").alias("source_id"), ident.alias("target_id"), F.lit("contains").alias("relation"))
@@ -49,10 +49,15 @@ def synthesize(c: store.Catalog) -> tuple[DataFrame, DataFrame]:
     return files.unionByName(defs), e
 
 
+def is_source(suffixes: tuple[str, ...] = (".py", *block_source.SUFFIXES)) -> Column:
+    return F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in suffixes) + ")$")
+
+
 def load(c: store.Catalog, spark: SparkSession, config: Config) -> store.Catalog:
-    files = cut_lineage(file_source.repo_files(spark, config.repo))
+    files = cut_lineage(file_source.repo_files(spark, config.repo, config.max_files, config.max_bytes))
     python = files.where(F.col("path").endswith(".py"))
-    c = c | {"_files": files, "_definitions": cut_lineage(extract(python, python_source.definitions, python_source.DEFINITIONS)), "_imports": cut_lineage(extract(python, python_source.imports, python_source.IMPORTS))}
+    definitions = extract(python, python_source.definitions, python_source.DEFINITIONS).unionByName(extract(files.where(is_source(block_source.SUFFIXES)), block_source.definitions, block_source.DEFINITIONS))
+    c = c | {"_files": files, "_definitions": cut_lineage(definitions), "_imports": cut_lineage(extract(python, python_source.imports, python_source.IMPORTS))}
     if config.graph:
         g = graph_json.read_graph(spark, config.graph)
         nodes = graph_json.nodes(g)
@@ -61,19 +66,21 @@ def load(c: store.Catalog, spark: SparkSession, config: Config) -> store.Catalog
         edges, flows = graph_json.edges(g), graph_json.hyperedges(g)
         flags = g.select(F.coalesce("directed", F.lit(True)).alias("directed"), F.coalesce("multigraph", F.lit(False)).alias("multigraph"))
         raw = spark.read.format("binaryFile").load(f"{config.graph}/graph.json").select(F.sha2("content", 256).alias("source_graph_hash"))
+        insights = cut_lineage(graph_json.insights(spark, config.graph))
     else:
         nodes, edges = synthesize(c)
         flows = store.empty(spark, "workflows")
         groups, members = spark.createDataFrame([], "ord int, community_id string, label string, cohesion double"), spark.createDataFrame([], "ord int, community_id string, pos int, id string")
         flags = spark.sql("SELECT true AS directed, false AS multigraph")
         raw = spark.sql("SELECT CAST(NULL AS STRING) AS source_graph_hash")
+        insights = spark.createDataFrame([], "kind string, text string")
     nodes, edges = cut_lineage(nodes), cut_lineage(edges)
     name = config.repo.rstrip("/").rpartition("/")[2]
     size = lambda df, n: df.agg(F.count("*").alias(n))
     meta = flags.crossJoin(raw).crossJoin(size(nodes, "node_count")).crossJoin(size(edges, "edge_count")).crossJoin(size(groups, "community_count"))
     meta = meta.withColumns({"repo_path": F.lit(config.repo), "repo_name": F.lit(name), "schema_version": F.lit(SCHEMA_VERSION), "generated_by": F.lit("cairn"), "builder_version": F.lit(config.builder_version)})
     hashes, lost = file_source.source_hashes(nodes, files)
-    return c | {"graph_nodes": nodes, "relationships": edges, "workflows": flows, "_communities": groups, "_members": members, "metadata": meta, "file_hashes": hashes, "_lost_files": lost}
+    return c | {"graph_nodes": nodes, "relationships": edges, "workflows": flows, "_communities": groups, "_members": members, "metadata": meta, "file_hashes": hashes, "_lost_files": lost, "_insights": insights}
 
 
 # Symbols and calls.
@@ -116,14 +123,16 @@ def calls(c: store.Catalog, spark: SparkSession, config: Config) -> store.Catalo
     methods = known.where("_class IS NOT NULL").join(line.select(F.col("id").alias("_class"), "ancestor", "depth", F.col("ord").alias("_o")), "_class").withColumn("_qn", F.concat_ws(".", "ancestor", "callee"))
     methods = methods.join(by_name.select(F.col("qualified_name").alias("_qn"), F.col("id").alias("target_id")), "_qn").groupBy("source_file", "ord", "caller").agg(F.min_by("target_id", F.struct("depth", "_o")).alias("target_id"))
     local = aggs.unrepeated(s.where("kind IN ('function', 'class')").withColumn("_k", F.concat_ws("|", "source_file", "name")), "_k", "id").select("_k", F.col("id").alias("target_id"))
-    bare = known.where("NOT is_attribute").withColumn("_k", F.concat_ws("|", "source_file", "callee")).join(local, "_k").select("source_file", "ord", "caller", "target_id")
+    # A receiver without a type is no receiver: the name is then looked for in the file, as that of a bare call.
+    untyped = F.col("_class").isNull() & F.col("returns").isNull() & (F.col("receiver_class").isNull() | F.col("receiver_call").isNotNull())
+    bare = known.where(~F.col("is_attribute") | untyped).withColumn("_k", F.concat_ws("|", "source_file", "callee")).join(local, "_k").select("source_file", "ord", "caller", "target_id")
     made = methods.unionByName(bare).join(by_name.select(F.col("qualified_name").alias("caller"), F.col("id").alias("source_id")), "caller").where("source_id <> target_id")
     e = made.select("source_id", "target_id", F.lit("calls").alias("relation"), "source_file").dropDuplicates(["source_id", "target_id"])
     e = e.withColumns({"id": coerce.edge_id(F.col("source_id"), F.col("relation"), F.col("target_id")), "confidence": F.lit("INFERRED"), "confidence_score": F.lit(1.0), "weight": F.lit(1.0)})
     old = store.conform(c["relationships"], "relationships")
     new = store.conform(e.join(old.select("id"), "id", "left_anti"), "relationships")
     every = cut_lineage(old.unionByName(new))
-    return c | {"relationships": every, "_call_degree": aggs.call_degree(every, s), "dependencies": joins.dependencies(every, c["graph_nodes"])}
+    return c | {"relationships": every, "_call_stats": aggs.call_stats(new), "_call_degree": aggs.call_degree(every, s), "dependencies": joins.dependencies(every, c["graph_nodes"])}
 
 
 # Components and contracts.
@@ -186,7 +195,7 @@ def bind(ops: DataFrame, c: store.Catalog) -> DataFrame:
 
 def contracts(c: store.Catalog, spark: SparkSession, config: Config) -> store.Catalog:
     """One api per method and path of all specs; heuristic ones stay where no spec covers their route."""
-    specs = c["_files"].where(F.lower("path").rlike(r"\.(json|ya?ml)$") & F.lower(F.substring("text", 1, openapi.HEAD)).rlike("openapi|swagger") & F.contains("text", F.lit("paths")))
+    specs = c["_files"].where(F.lower("path").rlike(r"\.(json|ya?ml)$") & F.substring("text", 1, openapi.HEAD).rlike("openapi|swagger") & F.contains("text", F.lit("paths")))
     ops = cut_lineage(extract(specs, openapi.operations, openapi.OPERATIONS))
     details = ["operation_id", "summary", "description", "parameters", "response_codes", "request_schema"]
     best = aggs.richest(ops, ["method", "path"], details, "spec_file")
@@ -204,17 +213,14 @@ def contracts(c: store.Catalog, spark: SparkSession, config: Config) -> store.Ca
 
 def database(c: store.Catalog, spark: SparkSession, config: Config) -> store.Catalog:
     """Technologies by fingerprint, tables and migrations of SQL and Alembic files. Files that can't be read give nothing."""
-    files = c["_files"].withColumn("ord", F.row_number().over(Window.orderBy("path")))
-    rules = [(r.id, k, phase, scope, pattern) for k, r in enumerate(REGISTRY) for phase, scope, found in ((0, None, [fnmatch.translate(g) for g in r.globs]), (1, "^(" + "|".join(map(re.escape, MANIFESTS)) + ")$", list(map(re.escape, r.tokens))), (2, "(?i)(" + "|".join(map(re.escape, CONTENT_SUFFIXES)) + ")$", [f"(?m){x}" for x in r.patterns])) for pattern in found]
-    rules = [(a, b, p, s, x.replace("(?s:", "(?s)(").replace(r"\Z", r"\z") if p == 0 else x) for a, b, p, s, x in rules]
-    table = spark.createDataFrame(rules, "id string, rule_ord int, phase int, scope string, pattern string")
-    names = spark.createDataFrame([(r.id, r.name, r.category) for r in REGISTRY], "id string, name string, category string")
-    found = aggs.fingerprints(files.select("ord", "path", "text"), table).join(names, "id")
+    files = c["_files"].withColumn("ord", F.col("path"))
+    names = registry.technologies(spark).select("id", "name", "category")
+    found = aggs.fingerprints(files.select("ord", "path", "text"), registry.rules(spark)).join(names, "id")
     sql = extract(files.where("path LIKE '%.sql'"), ddl.tables, ddl.TABLES)
     tables = windows.first_per_key(sql.where("kind = 'table'").withColumn("_o", -F.col("ord")), ["id"], ["_o"]).drop("index", "_o")
     tables = joins.attach_indexes(tables, sql.where("kind = 'index'").select("ord", F.col("index.table").alias("table"), "source_file", "index")).withColumn("technology", paths.sql_technology(F.col("source_file")))
     steps = tables.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("create_table "), "name").alias("op")))).alias("_ops"))
-    files_done = steps.select(F.concat(F.lit("migration::"), "source_file").alias("id"), paths.file_stem(F.col("source_file")).alias("name"), paths.sql_technology(F.col("source_file")).alias("technology"), F.transform("_ops", lambda x: x["op"]).alias("operations"), "source_file", F.lit("EXTRACTED").alias("confidence"))
+    files_done = steps.select(F.concat(F.lit("migration::"), "source_file").alias("id"), paths.base_name(F.col("source_file")).alias("name"), paths.sql_technology(F.col("source_file")).alias("technology"), F.transform("_ops", lambda x: x["op"]).alias("operations"), "source_file", F.lit("EXTRACTED").alias("confidence"))
     py = extract(files.where("path LIKE '%.py'").where(F.contains("text", F.lit("from alembic import op"))), alembic.migrations, alembic.MIGRATIONS).withColumns({"technology": F.lit("alembic"), "confidence": F.lit("EXTRACTED")})
     own = tables.withColumn("confidence", F.lit("EXTRACTED"))
     every = store.conform(own, "db_tables").unionByName(store.conform(py.where("kind = 'table'"), "db_tables")).withColumn("evidence", F.array("source_file"))
@@ -261,7 +267,7 @@ def modules(c: store.Catalog, spark: SparkSession, config: Config) -> store.Cata
         m = m.join(first.groupBy("module").agg(joins.sorted_set(F.col("id")).alias(f"{kind[:-1]}_ids")).withColumnRenamed("module", "id"), "id", "left")
     api = c["apis"].select(F.col("id").alias("api"), F.col("handler_symbol_id").alias("id")).join(owner, "id").groupBy(F.col("module").alias("id")).agg(joins.sorted_set(F.col("api")).alias("api_ids"))
     m = m.join(api, "id", "left")
-    return c | {"modules": cut_lineage(store.conform(m, "modules")), "symbols": cut_lineage(store.conform(s.drop("module_id").join(owner.withColumnRenamed("module", "module_id"), "id", "left"), "symbols")), "_owner": owner}
+    return c | {"_module_origins": m.groupBy("origin").agg(F.count("*").alias("n")), "modules": cut_lineage(store.conform(m, "modules")), "symbols": cut_lineage(store.conform(s.drop("module_id").join(owner.withColumnRenamed("module", "module_id"), "id", "left"), "symbols")), "_owner": owner}
 
 
 def concepts(c: store.Catalog, spark: SparkSession, config: Config) -> store.Catalog:
@@ -276,7 +282,8 @@ def summaries(c: store.Catalog, spark: SparkSession, config: Config) -> store.Ca
     m = c["modules"].withColumnRenamed("id", "_module").withColumn("id", F.col("_module"))
     names = lambda k, n="name": c[k].select("id", F.col(n).alias("name"))
     got = aggs.roll_up(m, {"_services": ("service_ids", names("services")), "_controllers": ("controller_ids", names("controllers")), "dependencies": ("related_module_ids", names("modules")), "public_apis": ("api_ids", names("apis")), "workflows": ("workflow_ids", names("workflows")), "concepts": ("concept_ids", names("concepts", "label"))})
-    s = got.select(F.concat(F.lit("summary::"), "id").alias("id"), F.col("id").alias("module_id"), F.concat("_services", "_controllers").alias("responsibilities"), "dependencies", "public_apis", "workflows", "concepts")
+    got = got.join(aggs.god_symbols(c["modules"], c["symbols"], c["_insights"].where("kind = 'god'").select(F.col("text").alias("id"))), "id", "left")
+    s = got.select(F.concat(F.lit("summary::"), "id").alias("id"), F.col("id").alias("module_id"), F.array_sort(F.concat("_services", "_controllers")).alias("responsibilities"), F.coalesce("god_nodes", F.array().cast("array<string>")).alias("god_nodes"), "dependencies", "public_apis", "workflows", "concepts")
     return c | {"summaries": cut_lineage(store.conform(s, "summaries")), "modules": c["modules"].withColumn("summary_id", F.concat(F.lit("summary::"), "id"))}
 
 
@@ -303,10 +310,40 @@ PASSES: list[tuple[str, Pass]] = [
 ]
 
 
+def agents_doc(c: store.Catalog, spark: SparkSession, config: Config) -> store.Catalog:
+    """Writes the managed block into Markdown files of the repository, if the build asks for it."""
+    if config.agents_doc and config.output:
+        agents_doc_sink.write(config.repo, config.output)
+    return c
+
+
+PASSES.append(("agents-doc", agents_doc))
+
+#: Passes whose failure is a warning, and the relations that are then empty.
+BEST_EFFORT = {"database": ("db_technologies", "db_tables", "db_migrations"), "agents-doc": ()}
+
+
+def _stats(c: store.Catalog) -> dict[str, dict]:
+    """Small figures of the passes: calls that were added and their callers, modules by origin."""
+    out: dict[str, dict] = {}
+    if "_call_stats" in c:
+        out["calls"] = c["_call_stats"].first().asDict()
+    if "_module_origins" in c:
+        out["modules"] = {r["origin"]: r["n"] for r in c["_module_origins"].collect()}
+    return out
+
+
 def build(spark: SparkSession, config: Config, progress: Callable[[str], None] | None = None, passes: list[tuple[str, Pass]] | None = None) -> tuple[store.Catalog, Diagnostics]:
     """Runs the passes, writes the catalog if config names an output, then validates it."""
     c: store.Catalog = {}
     said = Diagnostics()
+    if config.workspace:
+        source = config.graph or f"{config.workspace}/graph-source"
+        try:
+            said.stats["graph"] = graph_build.ensure_graph(config.repo, config.workspace, source, config.graph_command, config.rebuild, keep_source=config.graph is not None)
+        except graph_json.LoadError as e:
+            raise BuildError(f"graph: {e}") from e
+        config = replace(config, graph=config.workspace)
     for name, run in passes or PASSES:
         if progress:
             progress(name)
@@ -314,12 +351,18 @@ def build(spark: SparkSession, config: Config, progress: Callable[[str], None] |
         try:
             c = run(c, spark, config)
         except Exception as e:
-            raise BuildError(f"pass {name}: {e}") from e
+            if name not in BEST_EFFORT:
+                raise BuildError(f"pass {name}: {e}") from e
+            said.add("warning", name, f"left out: {e}")
+            c = c | {k: store.empty(spark, k) for k in BEST_EFFORT[name]}
         said.seconds[name] = time.time() - began
+    said.stats |= _stats(c)
     out = {k: store.conform(v, k) for k, v in c.items() if not k.startswith("_")}
     if config.output:
         store.write(out, config.output)
         out = store.read(spark, config.output)
+    if config.output and "_insights" in c:
+        c["_insights"].write.mode("overwrite").parquet(f"{config.output}/insights")
     lost = c["_lost_files"]
     lost = lost.select(F.lit("warning").alias("level"), F.lit("LOST_SOURCE_FILE").alias("code"), F.concat(lost.columns[0], F.lit(" is named by the graph, but isn't there")).alias("message"))
     issues = checks.validate(out, SCHEMA_VERSION).unionByName(lost)

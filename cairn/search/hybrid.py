@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.paths import NON_COMPONENT_KINDS, line_range
 from cairn.functions.text import asks_for_tests, is_test, question_stems, token_set
-from cairn.operators.graph import adjacency, expand
+from cairn.operators.graph import expand
 from cairn.operators.windows import budget_cut
 
 from .index import TEST_PENALTY
@@ -21,15 +21,15 @@ def node_tokens(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def seeds(tokens: DataFrame, question: str) -> DataFrame:
-    stems = question_stems(question)
+    stems = question_stems(tokens.sparkSession, question)
     hits = F.size(F.array_intersect("tokens", F.array(*map(F.lit, stems)))) if stems else F.lit(0)
     weight = F.lit(1.0) if asks_for_tests(stems) else F.when(F.col("is_test"), TEST_PENALTY).otherwise(1.0)
     return tokens.select("id", (hits * weight).alias("score")).where("score > 0")
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, question: str, hops: int = 1, limit: int = 40) -> DataFrame:
-    """The best symbols with a place in source, by expanded score, then id."""
-    found = expand(seeds(node_tokens(nodes, symbols), question), adjacency(edges), hops)
+def retrieve(tokens: DataFrame, near: DataFrame, symbols: DataFrame, question: str, hops: int = 1, limit: int = 40) -> DataFrame:
+    """The best symbols with a place in source, by expanded score, then id; tokens of nodes, and neighbours (a, b)."""
+    found = expand(seeds(tokens, question), near, hops)
     placed = symbols.where((F.coalesce("source_location", F.lit("")) != "") & (F.coalesce("source_file", F.lit("")) != "") & ~F.coalesce("kind", F.lit("")).isin(*NON_COMPONENT_KINDS))
     return placed.join(found, "id").orderBy(F.desc("score"), "id").limit(limit)
 

@@ -53,7 +53,7 @@ def inverted(index: DataFrame) -> DataFrame:
 
 def score(index: DataFrame, question: str, kinds: Sequence[str] | None = None) -> DataFrame:
     """Entities with score above 0: 2 per word of the question in the name, 1 elsewhere in the body; tests times 0.4."""
-    stems = question_stems(question)
+    stems = question_stems(index.sparkSession, question)
     if kinds:
         index = index.where(F.col("kind").isin(*kinds))
     if not stems:

@@ -39,20 +39,23 @@ _own_folder: str | None = None
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one on a local master where that is unset."""
     global _own_folder
+    import re
     import tempfile
 
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="cairn-")
     return _own_folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir (a temporary one where it is unset)."""
+    """df, written to the folder that the cluster names in spark.checkpoint.dir (a temporary one on a local master where it is unset)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(scratch_folder(df.sparkSession))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,9 +77,8 @@ def edges(graph: DataFrame) -> DataFrame:
 
 def hyperedges(graph: DataFrame) -> DataFrame:
     """workflow rows: hyperedges with members; an id that is missing is hyperedge_ and the number among those kept."""
-    h = graph.select(F.posexplode(F.coalesce("graph.hyperedges", "hyperedges", F.array().cast(f"array<{HYPER}>"))).alias("ord", "h")).select("ord", "h.*")
-    h = h.withColumn("participant_ids", F.coalesce("nodes", "members")).where("size(participant_ids) > 0")
-    kept = h.withColumn("_n", F.row_number().over(Window.orderBy("ord")) - 1)
+    some = F.filter(F.coalesce("graph.hyperedges", "hyperedges", F.array().cast(f"array<{HYPER}>")), lambda h: F.size(F.coalesce(h["nodes"], h["members"])) > 0)
+    kept = graph.select(F.posexplode(some).alias("_n", "h")).select("_n", "h.*").withColumn("participant_ids", F.coalesce("nodes", "members"))
     ident = F.coalesce(coerce.opt(F.col("id")), F.concat(F.lit("hyperedge_"), "_n"))
     return kept.select(ident.alias("id"), F.coalesce(coerce.opt(F.col("label")), ident).alias("name"), "participant_ids", coerce.hyperedge_relation(F.col("relation")).alias("relation"), coerce.confidence(F.col("confidence")).alias("confidence"), coerce.number_or(F.col("confidence_score"), None).alias("confidence_score"), coerce.opt(F.col("source_file")).alias("source_file"))
 
@@ -106,9 +104,3 @@ def insights(spark: SparkSession, folder: str) -> DataFrame:
     ident = lambda x: F.coalesce(F.get_json_object(x, "$.id"), F.get_json_object(x, "$.node"), F.get_json_object(x, "$.node_id"), F.get_json_object(x, "$.label"), x)
     part = lambda kind, c, f: a.select(F.lit(kind).alias("kind"), F.explode(F.transform(c, f)).alias("text"))
     return part("surprise", F.col("surprises"), text).unionByName(part("question", F.col("questions"), text)).unionByName(part("god", F.coalesce("gods", "god_nodes"), ident))
-
-
-def write_labels(path: str, labels: dict[str, str]) -> None:
-    """A labels sidecar in the form that communities() reads."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"labels": labels}, f)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import coerce, paths, routes, text
 from cairn.operators import aggs, graph, joins, windows
-from cairn.plans.registry import dialect_for
+from cairn.plans import registry
 from cairn.search.hybrid import file_lines
 from cairn.sources import graph_json
 
@@ -18,20 +18,36 @@ def column(spark, values, f):
 
 
 def test_stems(spark):
-    words = ["chunked", "chunking", "embedded", "embed", "class", "status", "queries", "process", "works", "runs", "installing", "passed", "ions", ""]
-    assert column(spark, words, text.stem) == [text.stem_word(w) for w in words]
-    assert text.stem_word("embedding") == text.stem_word("embedded") == "embed" and text.stem_word("queries") == "query"
+    words = {"chunked": "chunk", "chunking": "chunk", "embedded": "embed", "embedding": "embed", "embed": "embed", "class": "class", "status": "status", "queries": "query", "process": "process", "works": "work", "runs": "runs", "installing": "install", "passed": "pass", "ions": "ions", "sections": "sect", "": ""}
+    assert column(spark, list(words), text.stem) == list(words.values())
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abcdeinosy", min_size=1, max_size=12))
-def test_stems_keep_a_root(word):
-    assert 1 <= len(text.stem_word(word)) <= len(word) and (len(word) > 4 or text.stem_word(word) == word)
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeinosy", min_size=1, max_size=12), min_size=40, max_size=40))
+def test_stems_keep_a_root(spark, words):
+    for word, root in zip(words, column(spark, words, text.stem)):
+        assert 1 <= len(root) <= len(word) and (len(word) > 4 or root == word)
 
 
-def test_question_words():
-    assert text.question_stems("How does the Chunking of files work?") == ["chunk", "file"]
-    assert text.question_stems("what is it") == [] and text.asks_for_tests(text.question_stems("show the test fixture"))
+def test_question_words(spark):
+    assert text.question_stems(spark, "How does the Chunking of files work?") == ["chunk", "file"]
+    assert text.question_stems(spark, "what is it") == [] and text.asks_for_tests(text.question_stems(spark, "show the test fixture"))
+
+
+def test_nearest_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    left = [(i, rng.choice("ab"), rng.choice([None, *range(30)])) for i in range(60)] + [(60, "only", 1)]
+    right = [(i, rng.choice("abc"), rng.choice([None, *range(0, 30, 3)])) for i in range(40)]
+    df = lambda rows: spark.createDataFrame(rows, "i int, k string, t int")
+    got = {r["i"]: (r["j"], r["distance"]) for r in joins.nearest(df(left), df(right).withColumnRenamed("i", "j"), ["k"], "t", "i", "j").collect()}
+    want = {}
+    for i, k, t in left:
+        near = [(abs(u - t), u, j) for j, m, u in right if m == k and u is not None and t is not None]
+        if near:
+            want[i] = (min(near)[2], min(near)[0])
+    assert got == want and len(want) > 40
 
 
 @pytest.mark.parametrize(
@@ -109,8 +125,18 @@ def test_lines_of_files(spark):
     assert sorted((r["path"], r["line"], r["text"]) for r in file_lines(f).collect()) == [("a", 1, "1"), ("a", 2, "2"), ("a", 3, ""), ("a", 4, "4"), ("c", 1, "x")]
 
 
-def test_dialects():
-    assert dialect_for([("mysql", "INFERRED"), ("sqlite", "EXTRACTED"), ("postgres", "EXTRACTED")]) == "postgres" and dialect_for([("alembic", "EXTRACTED")]) is None
+def test_dialects(spark):
+    of = lambda *rows: [r[0] for r in registry.dialect(spark.createDataFrame(rows, "id string, confidence string")).collect()]
+    assert of(("mysql", "INFERRED"), ("sqlite", "EXTRACTED"), ("postgres", "EXTRACTED")) == ["postgres"] and of(("alembic", "EXTRACTED")) == []
+
+
+def test_broken_sources_of_other_languages_never_raise():
+    from cairn.extract.block_source import LANGUAGES, definitions
+
+    for language in LANGUAGES:
+        for odd in ("", "{", "}", "((((", "/*", '"', "class", "class {{{ broken", "function f(", "def", "end end", "\n" * 500, "}{" * 500, "class A {" * 300, "é" * 50 + "{"):
+            assert isinstance(list(definitions(f"a{language.suffixes[0]}", odd)), list)
+    assert list(definitions("a.unknown", "class A {}")) == []
 
 
 def test_graph_files(spark, tmp_path):
