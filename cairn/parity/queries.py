@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.extract import alembic, ddl, mounts, openapi, python_source
-from cairn.extract.run import extract
+from cairn import catalog as store
 from cairn.functions import coerce, paths, routes, text
 from cairn.operators import aggs, checks, graph, joins, windows
-from cairn.search import hybrid, index
+from cairn.schemas import RELATIONS
+from cairn.search import hybrid, index, render
+from cairn.sources import files
 
 from .views import EDGES, HYPER, MEMBERSHIP, NODES, edges, hyper, membership, nodes, table
 
@@ -30,13 +31,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _half(column: str):
+    return F.floor(F.col(column) / 2).cast("long")
+
+
 def joined(c):
     return F.array_join(c, "|")
 
 
 QUESTION = "how does the heating tion handle testing of ereating"
-STEMS = text.question_stems(QUESTION)
-STEM_LIST = ", ".join(f"'{s}'" for s in STEMS)
+STEM_LIST = text.question_stems_sql(QUESTION)
+ASKS_FOR_TESTS = f"list_has_any({STEM_LIST}, [{', '.join(f"'{w}'" for w in text.TEST_WORDS)}])"
 
 
 # Tokens and search.
@@ -60,7 +65,7 @@ def _document_index(spark, d):
 
 SCORED = f"""d AS (SELECT doc_id::VARCHAR AS id, source AS name, {text.token_set_sql("coalesce(source, '')")} AS nt, {text.token_set_sql("concat_ws(' ', source, text)")} AS bt,
     {text.is_test_sql("concat_ws(' ', '', source)")} AS is_test FROM documents),
-  s AS (SELECT *, list_sum(list_transform([{STEM_LIST}], lambda q: CASE WHEN list_contains(nt, q) THEN 2 WHEN list_contains(bt, q) THEN 1 ELSE 0 END)) * {1.0 if text.asks_for_tests(STEMS) else "CASE WHEN is_test THEN 0.4 ELSE 1.0 END"} AS score FROM d)"""
+  s AS (SELECT *, list_sum(list_transform({STEM_LIST}, lambda q: CASE WHEN list_contains(nt, q) THEN 2 WHEN list_contains(bt, q) THEN 1 ELSE 0 END)) * CASE WHEN is_test AND NOT {ASKS_FOR_TESTS} THEN 0.4 ELSE 1.0 END AS score FROM d)"""
 
 
 @query(f"WITH {SCORED} SELECT id, name, round(score, 6)::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, is_test, name, id LIMIT 10")
@@ -107,16 +112,16 @@ def inverted_index(spark, d):
     return index.inverted(_union_index(spark, d)).groupBy("token").agg(F.count("*").alias("n"), F.count_if("in_name").alias("named"))
 
 
-@query(f"""WITH {UNION} SELECT kind, id, round(score, 6)::DOUBLE AS score FROM (SELECT *, list_sum(list_transform(['ring', 'small', 'building'], lambda q: CASE WHEN list_contains(nt, q) THEN 2 WHEN list_contains(bt, q) THEN 1 ELSE 0 END)) * CASE WHEN is_test THEN 0.4 ELSE 1.0 END AS score FROM ui WHERE kind IN ('part', 'customer'))
-WHERE score > 0 ORDER BY score DESC, is_test, kind, name, id LIMIT 25""".replace("'building'", f"'{text.stem_word('building')}'"))
+@query(f"""WITH {UNION} SELECT kind, id, round(score, 6)::DOUBLE AS score FROM (SELECT *, list_sum(list_transform({text.question_stems_sql('small ring building')}, lambda q: CASE WHEN list_contains(nt, q) THEN 2 WHEN list_contains(bt, q) THEN 1 ELSE 0 END)) * CASE WHEN is_test THEN 0.4 ELSE 1.0 END AS score FROM ui WHERE kind IN ('part', 'customer'))
+WHERE score > 0 ORDER BY score DESC, is_test, kind, name, id LIMIT 25""")
 def kind_filtered_search(spark, d):
     return index.ranked(_union_index(spark, d), "small ring building", 25, ("part", "customer")).select("kind", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'src/tests/' || url ELSE url END AS u FROM pages),
   i AS (SELECT page_id::VARCHAR AS id, {text.token_set_sql('u')} AS nt, {text.is_test_sql("u || ' ' || u")} AS is_test FROM p)
-SELECT id, round((2 * len(list_filter(['exampl', 'com'], lambda q: list_contains(nt, q)))) * CASE WHEN is_test THEN 0.4 ELSE 1.0 END, 6)::DOUBLE AS score FROM i
-WHERE len(list_filter(['exampl', 'com'], lambda q: list_contains(nt, q))) > 0""".replace("'exampl'", f"'{text.stem_word('example')}'"))
+SELECT id, round((2 * len(list_filter({text.question_stems_sql('example com')}, lambda q: list_contains(nt, q)))) * CASE WHEN is_test THEN 0.4 ELSE 1.0 END, 6)::DOUBLE AS score FROM i
+WHERE len(list_filter({text.question_stems_sql('example com')}, lambda q: list_contains(nt, q))) > 0""")
 def test_penalty_search(spark, d):
     u = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("src/tests/"), "url")).otherwise(F.col("url"))
     p = table(spark, d, "pages").withColumn("u", u)
@@ -189,7 +194,7 @@ def json_roundtrip(spark, d):
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
 def hash_sources(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("hash"))
+    return files.hashed(table(spark, d, "documents"), "text").select("doc_id", "hash")
 
 
 @query("""SELECT o_orderkey, lower(o_orderpriority) || '_' || 'order' AS derived, CASE WHEN o_orderkey % 3 = 0 THEN 'GET' WHEN o_orderkey % 3 = 1 THEN 'POST' ELSE '' END AS verb,
@@ -236,13 +241,13 @@ def nearest_event_match(spark, d):
     return joins.nearest(e.where("event_type = 'purchase'").select("event_id", "user_id", "t"), views, ["user_id"], "t", "event_id", "view_id")
 
 
-@query(f"""WITH s AS (SELECT p_partkey AS id, p_brand AS f, p_name AS n, p_size AS l FROM part), dd AS (SELECT s_suppkey AS o, p_brand AS f, p_name AS n, p_size + s_suppkey::INTEGER % 3 AS l FROM supplier JOIN part ON s_suppkey * 7 % 97 = p_partkey % 97),
+@query(f"""WITH s AS (SELECT p_partkey AS id, p_partkey // 100 AS f, p_name AS n, p_size AS l FROM part), dd AS (SELECT p_partkey AS o, p_partkey // 100 AS f, p_name AS n, p_size + length(p_brand) % 3 AS l FROM part WHERE p_type <> 'SMALL'),
 c AS (SELECT id, count(*) AS n, arg_min(o, {{'a': abs(dd.l - s.l), 'b': o}}) AS o FROM s JOIN dd ON s.f = dd.f AND s.n = dd.n GROUP BY id)
 SELECT id, o AS ord FROM c UNION ALL SELECT s.id, min(dd.o) FROM s JOIN dd ON s.f = dd.f AND s.l = dd.l WHERE s.id NOT IN (SELECT id FROM c) GROUP BY s.id""")
 def match_definitions(spark, d):
-    part, sup = table(spark, d, "part"), table(spark, d, "supplier")
-    s = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source_file"), F.col("p_name").alias("name"), F.col("p_size").alias("start_line"))
-    defs = sup.join(part, F.col("s_suppkey") * 7 % 97 == F.col("p_partkey") % 97).select(F.col("s_suppkey").alias("ord"), F.col("p_brand").alias("source_file"), F.col("p_name").alias("name"), (F.col("p_size") + (F.col("s_suppkey") % 3).cast("int")).alias("start_line"))
+    part = table(spark, d, "part").withColumn("source_file", F.floor(F.col("p_partkey") / 100).cast("string"))
+    s = part.select(F.col("p_partkey").alias("id"), "source_file", F.col("p_name").alias("name"), F.col("p_size").alias("start_line"))
+    defs = part.where("p_type <> 'SMALL'").select(F.col("p_partkey").alias("ord"), "source_file", F.col("p_name").alias("name"), (F.col("p_size") + F.length("p_brand") % 3).alias("start_line"))
     return joins.match_definitions(s, defs)
 
 
@@ -253,14 +258,14 @@ def next_greater_start(spark, d):
 
 
 ROUTES = """op AS (SELECT DISTINCT '/api/' || lower(replace(p_brand, '#', '')) || '/' || replace(p_name, ' ', '/') AS path FROM part),
-  tail AS (SELECT DISTINCT '/' || replace(p_name, ' ', '/') AS tail FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT '/' || string_split(p_name, ' ')[-1] FROM part)"""
+  tail AS (SELECT DISTINCT '/' || replace(p_name, ' ', '/') AS tail FROM part UNION SELECT DISTINCT '/' || string_split(p_name, ' ')[-1] FROM part)"""
 
 
 def _routes(spark, d):
     p = table(spark, d, "part")
     words = F.replace("p_name", F.lit(" "), F.lit("/"))
     ops = p.select(F.concat(F.lit("/api/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"), words).alias("path")).distinct()
-    tails = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("/"), words).alias("tail")).union(p.select(F.concat(F.lit("/"), F.element_at(F.split("p_name", " "), -1)))).distinct()
+    tails = p.select(F.concat(F.lit("/"), words).alias("tail")).union(p.select(F.concat(F.lit("/"), F.element_at(F.split("p_name", " "), -1)))).distinct()
     return ops, tails
 
 
@@ -280,28 +285,28 @@ def prefix_name_join(spark, d):
     return joins.prefix_join(ops, names, "op", "name").select("op", "name")
 
 
-@query("""WITH o AS (SELECT DISTINCT p_name AS op, string_split(p_name, ' ') AS wanted FROM part), s AS (SELECT DISTINCT p_brand AS file, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS tokens FROM part WHERE p_partkey % 5 = 0),
+@query("""WITH o AS (SELECT DISTINCT p_name AS op, string_split(p_name, ' ') AS wanted FROM part), s AS (SELECT DISTINCT p_brand AS file, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS tokens FROM part),
 x AS (SELECT DISTINCT op, file, len(list_intersect(list_distinct(wanted), tokens))::INTEGER AS score FROM o, s), y AS (SELECT *, max(score) OVER (PARTITION BY op) AS top FROM x WHERE score > 0)
 SELECT op, min(file) AS file, max(score) AS score FROM y WHERE score = top GROUP BY op HAVING count(*) = 1""")
 def path_affinity_tiebreak(spark, d):
     p = table(spark, d, "part")
     ops = p.select(F.col("p_name").alias("op"), F.split("p_name", " ").alias("wanted")).distinct()
-    files = p.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("file"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens")).distinct()
+    owners = p.select(F.col("p_brand").alias("file"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens")).distinct()
     # Candidates share a word; the pairing is an equality join on words.
-    pairs = ops.withColumn("w", F.explode("wanted")).join(files.withColumn("w", F.explode("tokens")), "w").drop("w").distinct()
+    pairs = ops.withColumn("w", F.explode("wanted")).join(owners.withColumn("w", F.explode("tokens")), "w").drop("w").distinct()
     return joins.best_affinity(pairs, "op", "file", "wanted", "tokens").select("op", "file", "score")
 
 
-@query("WITH x AS (SELECT p_name AS k, p_brand AS v FROM part) SELECT k, min(v) AS v FROM x GROUP BY k HAVING count(DISTINCT v) = 1")
+@query("WITH x AS (SELECT p_partkey // 2 AS k, p_brand AS v FROM part) SELECT k, min(v) AS v FROM x GROUP BY k HAVING count(DISTINCT v) = 1")
 def unique_match(spark, d):
-    return joins.unique_match(table(spark, d, "part").select(F.col("p_name").alias("k"), F.col("p_brand").alias("v")), "k", "v")
+    return joins.unique_match(table(spark, d, "part").select(_half("p_partkey").alias("k"), F.col("p_brand").alias("v")), "k", "v")
 
 
-@query(f"""{BOTH}, {MEMBERSHIP}, e AS (SELECT source_id, target_id FROM v_edges UNION ALL SELECT 'c' || c_custkey, 's' || s_suppkey FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50),
+@query(f"""{BOTH}, {MEMBERSHIP}, e AS (SELECT source_id, target_id FROM v_edges UNION ALL SELECT 'c' || c_custkey, 's' || s_suppkey FROM customer JOIN supplier ON c_custkey // 15 = s_suppkey),
 x AS (SELECT DISTINCT a.module AS m, b.module AS r FROM e JOIN v_member a ON a.id = source_id JOIN v_member b ON b.id = target_id WHERE a.module <> b.module) SELECT m AS module, r AS related FROM x UNION SELECT r, m FROM x""")
 def module_adjacency(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    more = c.join(s, F.col("c_custkey") % 50 == F.col("s_suppkey") % 50).select(F.concat(F.lit("c"), "c_custkey").alias("source_id"), F.concat(F.lit("s"), "s_suppkey").alias("target_id"))
+    more = c.join(s, F.floor(F.col("c_custkey") / 15) == F.col("s_suppkey")).select(F.concat(F.lit("c"), "c_custkey").alias("source_id"), F.concat(F.lit("s"), "s_suppkey").alias("target_id"))
     e = edges(spark, d).select("source_id", "target_id").unionByName(more)
     return joins.module_adjacency(e, membership(spark, d))
 
@@ -354,11 +359,11 @@ def callgraph_degree(spark, d):
     return aggs.call_degree(edges(spark, d), nodes(spark, d))
 
 
-CONCEPT_EDGES = "ce AS (SELECT 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id, 'cites' AS relation FROM lineitem WHERE l_linenumber = 1)"
+CONCEPT_EDGES = "ce AS (SELECT 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id, 'cites' AS relation FROM lineitem)"
 
 
 def _concept_edges(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.lit("cites").alias("relation"))
+    return table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.lit("cites").alias("relation"))
 
 
 @query(f"WITH {NODES}, {CONCEPT_EDGES}, r AS (SELECT source_id AS id, target_id AS o FROM ce UNION SELECT target_id, source_id FROM ce) SELECT n.id, coalesce(string_agg(o, '|' ORDER BY o), '') AS related FROM v_nodes n LEFT JOIN r ON n.id = r.id WHERE file_type = 'concept' GROUP BY n.id")
@@ -415,14 +420,14 @@ def route_conflict(spark, d):
     return aggs.route_conflicts(_declarations(spark, d), ["method", "path"], ["operation_id"]).withColumn("specs", F.size("specs").cast("long"))
 
 
-@query("SELECT p_name, min(p_brand) AS p_brand FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+@query("SELECT p_partkey // 2 AS k, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def unique_or_null_map(spark, d):
-    return aggs.unique_or_none(table(spark, d, "part"), "p_name", "p_brand")
+    return aggs.unique_or_none(table(spark, d, "part").withColumn("k", _half("p_partkey")), "k", "p_brand")
 
 
-@query("SELECT p_type || p_size AS k, min(p_partkey) AS p_partkey FROM part GROUP BY 1 HAVING count(*) = 1")
+@query("SELECT p_partkey // 3 || p_type AS k, min(p_partkey) AS p_partkey FROM part GROUP BY 1 HAVING count(*) = 1")
 def unrepeated_names(spark, d):
-    return aggs.unrepeated(table(spark, d, "part").withColumn("k", F.concat("p_type", "p_size")), "k", "p_partkey")
+    return aggs.unrepeated(table(spark, d, "part").withColumn("k", F.concat(F.floor(F.col("p_partkey") / 3).cast("long"), "p_type")), "k", "p_partkey")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")))
@@ -487,9 +492,9 @@ def collision_names(spark, d):
     return windows.collisions(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
 
 
-@query(f"WITH {NODES} SELECT id, label FROM v_nodes ORDER BY length(label) DESC, id LIMIT 40")
+@query(f"WITH {NODES} SELECT id, length(label)::DOUBLE AS score FROM v_nodes ORDER BY score DESC, id LIMIT 40")
 def topk_seeds(spark, d):
-    return nodes(spark, d).orderBy(F.desc(F.length("label")), "id").limit(40).select("id", "label")
+    return graph.frontier(nodes(spark, d).select("id", F.length("label").cast("double").alias("score")))
 
 
 @query(f"{BOTH} SELECT source_id AS a, target_id AS b FROM v_edges UNION SELECT target_id, source_id FROM v_edges")
@@ -500,12 +505,13 @@ def adjacency_undirected(spark, d):
 @query(f"{BOTH} SELECT id FROM v_nodes WHERE community_id IS NULL")
 def nodes_without_community(spark, d):
     n = nodes(spark, d)
-    return n.join(n.where("community_id IS NOT NULL").select("id"), "id", "left_anti").select("id")
+    return joins.without(n, "id", n.where("community_id IS NOT NULL").select("id")).select("id")
 
 
-@query("SELECT p_partkey, array_to_string(list_distinct([p_type, p_brand, p_type]), '|') AS u FROM part".replace("list_distinct([p_type, p_brand, p_type])", "[p_type, p_brand]"))
+@query("""WITH x AS (SELECT p_partkey, [p_type, p_brand, p_name] AS a, [p_name, p_type, p_size::VARCHAR] AS b FROM part),
+  y AS (SELECT p_partkey, unnest(list_concat(a, b)) AS v, unnest(range(6)) AS i FROM x), z AS (SELECT p_partkey, v, min(i) AS i FROM y GROUP BY ALL) SELECT p_partkey, string_agg(v, '|' ORDER BY i) AS u FROM z GROUP BY 1""")
 def ordered_union(spark, d):
-    return table(spark, d, "part").select("p_partkey", joined(F.array_distinct(F.concat(F.array("p_type", "p_brand"), F.array("p_type")))).alias("u"))
+    return table(spark, d, "part").select("p_partkey", joined(text.ordered_union(F.array("p_type", "p_brand", "p_name"), F.array("p_name", "p_type", F.col("p_size").cast("string")))).alias("u"))
 
 
 # Graph.
@@ -525,12 +531,12 @@ HOP0 = f"{BOTH}, adj AS (SELECT source_id AS a, target_id AS b FROM v_edges UNIO
 
 @query(f"{HOP0} SELECT id, round(sum(s), 6) AS score FROM (SELECT id, score AS s FROM seed UNION ALL SELECT id, c FROM h0) GROUP BY id")
 def khop_expand_1(spark, d):
-    return graph.expand(_seeds(spark, d), graph.adjacency(edges(spark, d)), 1).withColumn("score", F.round("score", 6))
+    return graph.expand(_seeds(spark, d), graph.both_ways(edges(spark, d)), 1).withColumn("score", F.round("score", 6))
 
 
 @query(f"{HOP0}, h1 AS (SELECT b AS id, sum(score * 0.25) AS c FROM h0 JOIN adj ON id = a WHERE score * 0.25 >= 0.15 GROUP BY b) SELECT id, round(sum(s), 6) AS score FROM (SELECT id, score AS s FROM seed UNION ALL SELECT id, c FROM h0 UNION ALL SELECT id, c FROM h1) GROUP BY id")
 def khop_expand_2(spark, d):
-    return graph.expand(_seeds(spark, d), graph.adjacency(edges(spark, d)), 2).withColumn("score", F.round("score", 6))
+    return graph.expand(_seeds(spark, d), graph.both_ways(edges(spark, d)), 2).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH RECURSIVE a(id, ancestor, depth) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT id, ancestor // 2, depth + 1 FROM a WHERE ancestor > 0) SELECT id, ancestor, depth FROM a""")
@@ -557,15 +563,15 @@ def _defects(spark, d):
     p = table(spark, d, "part")
     k = F.col("p_partkey")
     sid = F.concat(F.lit("p"), k)
-    symbols = p.select(sid.alias("id"), F.when(k % 11 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(k % 6 == 0, "import").otherwise("function").alias("kind"), F.concat(F.lit("f"), k % 40).alias("source_file"), F.when(k % 13 > 0, (k % 5).cast("int")).alias("start_line"), F.when(k % 7 > 0, F.concat(F.lit("m"), k % 30)).alias("module_id"))
-    modules = p.where("p_partkey < 28").select(F.concat(F.lit("m"), k).alias("id"), F.array(sid, F.concat(F.lit("p"), k * 1000)).alias("symbol_ids"), F.when(k % 2 == 0, F.concat(F.lit("y"), k)).alias("summary_id"))
-    summaries = p.where("p_partkey < 20").select(F.concat(F.lit("y"), k).alias("id"), F.concat(F.lit("m"), k % 15).alias("module_id"))
+    symbols = p.select(sid.alias("id"), F.when(k % 11 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(k % 6 == 0, "import").otherwise("function").alias("kind"), F.concat(F.lit("f"), k % 40).alias("source_file"), F.when(k % 13 > 0, (k % 5).cast("int")).alias("start_line"), F.when(k % 7 > 0, F.concat(F.lit("m"), F.when(F.col("p_size") > 45, -k).otherwise(k))).alias("module_id"))
+    modules = p.select(F.concat(F.lit("m"), k).alias("id"), F.array(sid, F.concat(F.lit("p"), k * 1000)).alias("symbol_ids"), F.when(k % 2 == 0, F.concat(F.lit("y"), k)).alias("summary_id"))
+    summaries = p.where("p_size <= 30").select(F.concat(F.lit("y"), k).alias("id"), F.concat(F.lit("m"), _half("p_partkey")).alias("module_id"))
     concepts = p.where("p_size > 25").select(sid.alias("id"), F.col("p_name").alias("label"), F.when(k % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("related_ids"))
     return nodes(spark, d), edges(spark, d), symbols, modules, summaries, concepts
 
 
-@query(f"""WITH {NODES}, {EDGES}, sy AS (SELECT p_partkey AS k, 'p' || p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN 'import' ELSE 'function' END AS kind, 'f' || p_partkey % 40 AS f, CASE WHEN p_partkey % 13 > 0 THEN p_partkey % 5 END AS l, CASE WHEN p_partkey % 7 > 0 THEN 'm' || p_partkey % 30 END AS m FROM part),
-mo AS (SELECT p_partkey AS k, 'm' || p_partkey AS id FROM part WHERE p_partkey < 28), su AS (SELECT 'y' || p_partkey AS id, 'm' || p_partkey % 15 AS m FROM part WHERE p_partkey < 20), ms AS (SELECT 'p' || k AS s FROM mo UNION ALL SELECT 'p' || k * 1000 FROM mo),
+@query(f"""WITH {NODES}, {EDGES}, sy AS (SELECT p_partkey AS k, 'p' || p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN 'import' ELSE 'function' END AS kind, 'f' || p_partkey % 40 AS f, CASE WHEN p_partkey % 13 > 0 THEN p_partkey % 5 END AS l, CASE WHEN p_partkey % 7 > 0 THEN 'm' || CASE WHEN p_size > 45 THEN -p_partkey ELSE p_partkey END END AS m FROM part),
+mo AS (SELECT p_partkey AS k, 'm' || p_partkey AS id FROM part), su AS (SELECT 'y' || p_partkey AS id, 'm' || p_partkey // 2 AS m FROM part WHERE p_size <= 30), ms AS (SELECT 'p' || k AS s FROM mo UNION ALL SELECT 'p' || k * 1000 FROM mo),
 co AS (SELECT p_partkey AS k, 'p' || p_partkey AS id, p_name AS label FROM part WHERE p_size > 25)
 SELECT code, level, count(*)::BIGINT AS n FROM (
   SELECT 'GRAPH_DANGLING_EDGE' AS code, 'error' AS level FROM v_edges WHERE source_id NOT IN (SELECT id FROM v_nodes) OR target_id NOT IN (SELECT id FROM v_nodes)
@@ -599,61 +605,19 @@ def snippet_lines(spark, d):
     return hybrid.file_lines(f).withColumnRenamed("path", "doc_id")
 
 
-@query("""SELECT n_name AS name, '### Nation: ' || n_name || chr(10) || '- Region: ' || r_name AS block FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT 'm' || s_suppkey AS id, '### Module: ' || s_name || CASE WHEN s_acctbal > 0 THEN chr(10) || '- Purpose: ' || s_name ELSE '' END || chr(10) || '- Responsibilities: a, ' || s_nationkey || chr(10) || '- Key symbols: g' AS block FROM supplier
+UNION ALL SELECT 'p' || p_partkey, '### Concept: ' || p_name || CASE WHEN p_size > 25 THEN chr(10) || '- Rationale: ' || p_type ELSE '' END || chr(10) || '- Source: x.md' FROM part
+UNION ALL SELECT 'c' || c_custkey, '### Symbol: ' || c_name || chr(10) || '- Signature: (a) -> b' || chr(10) || '- Location: ' || c_mktsegment || '.py:L' || c_nationkey || chr(10) || '- Doc: One.' FROM customer
+UNION ALL SELECT 'n' || n_nationkey, '### Service: ' || n_name FROM nation""")
 def render_blocks(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("name"), F.concat_ws("\n", F.concat(F.lit("### Nation: "), "n_name"), F.concat(F.lit("- Region: "), "r_name")).alias("block"))
-
-
-# Extractors, over source text that follows from part rows.
-
-
-def _sources(spark, d, suffix: str, *pieces):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").select(F.concat(F.lit("src/m"), k, F.lit(suffix)).alias("path"), F.concat(*pieces).alias("text"))
-
-
-@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, kind, 'src.m' || p_partkey || q AS qualified_name, l AS start_line, s AS signature, v AS visibility FROM part, (VALUES ('class', '.C', 1, '(Base)', 'public'), ('method', '.C._m', 2, '(self, a: int) -> str', 'protected'), ('function', '.f', 4, '()', 'public')) x(kind, q, l, s, v)""")
-def py_definitions(spark, d):
-    f = _sources(spark, d, ".py", F.lit("class C(Base):\n    def _m(self, a: int) -> str:\n        return a\nasync def f():\n    return C()\n"))
-    return extract(f, python_source.definitions, python_source.DEFINITIONS).select("source_file", "kind", "qualified_name", "start_line", "signature", "visibility")
-
-
-@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, 'src.m' || p_partkey || '.f' AS caller, c AS callee, t AS receiver_class, l AS line FROM part, (VALUES ('C', NULL, 5), ('run', 'C', 6), ('p' , 'D', 7)) x(c, t, l)""")
-def py_calls(spark, d):
-    f = _sources(spark, d, ".py", F.lit("class C:\n    pass\n\ndef f(x: D):\n    c = C()\n    c.run()\n    x.p()\n"))
-    return extract(f, python_source.calls, python_source.CALLS).select("source_file", "caller", "callee", "receiver_class", "line")
-
-
-@query("""SELECT 'table::src/m' || p_partkey || '.sql::t' || p_partkey AS id, 't' || p_partkey AS name, 'id INTEGER pk|name VARCHAR(' || p_size || ')|ref BIGINT -> other' AS columns, 1::BIGINT AS constraints FROM part""")
-def ddl_tables(spark, d):
-    k = F.col("p_partkey")
-    f = _sources(spark, d, ".sql", F.lit("-- made\nCREATE TABLE t"), k, F.lit(" (id integer PRIMARY KEY, name varchar("), F.col("p_size"), F.lit(") NOT NULL, ref bigint REFERENCES other (id), UNIQUE (name, ref));\nINSERT INTO x VALUES (1);"))
-    rows = extract(f, ddl.tables, ddl.TABLES)
-    shown = F.transform("columns", lambda c: F.concat(c["name"], F.lit(" "), c["data_type"], F.when(c["primary_key"], " pk").otherwise(""), F.coalesce(F.concat(F.lit(" -> "), c["references_table"]), F.lit(""))))
-    return rows.select("id", "name", joined(shown).alias("columns"), F.size("constraints").cast("long").alias("constraints"))
-
-
-@query("""SELECT 'src/m' || p_partkey || '.json' AS spec_file, m AS method, '/v1/p' || p_partkey || t AS path, o AS operation_id, p AS parameters FROM part, (VALUES ('GET', '/{id}', 'one', 'id|q'), ('POST', '/{id}', NULL, 'id')) x(m, t, o, p)""")
-def openapi_operations(spark, d):
-    f = _sources(spark, d, ".json", F.lit('{"swagger": "2.0", "basePath": "/v1/", "paths": {"/p'), F.col("p_partkey"), F.lit('/{id}": {"parameters": [{"name": "id"}], "get": {"operationId": "one", "parameters": [{"name": "q"}]}, "post": {}}}}'))
-    return extract(f, openapi.operations, openapi.OPERATIONS).select("spec_file", "method", "path", "operation_id", joined(F.col("parameters")).alias("parameters"))
-
-
-@query("""SELECT 'migration::src/m' || p_partkey || '.py' AS id, 'create_table t' || p_partkey || '|drop_column t' || p_partkey AS operations FROM part""")
-def alembic_operations(spark, d):
-    k = F.col("p_partkey")
-    f = _sources(spark, d, ".py", F.lit('from alembic import op\nimport sqlalchemy as sa\ndef upgrade():\n    op.create_table("t'), k, F.lit('", sa.Column("id", sa.Integer))\n    op.drop_column("t'), k, F.lit('", "c")\ndef downgrade():\n    op.drop_table("x")\n'))
-    return extract(f, alembic.migrations, alembic.MIGRATIONS).where("kind = 'migration'").select("id", joined(F.col("operations")).alias("operations"))
-
-
-@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, kind, router, child, prefix FROM part, (VALUES ('router', 'r', NULL, '/x'), ('mount', 'app', 'r', '/v1')) x(kind, router, child, prefix)""")
-def router_mounts(spark, d):
-    f = _sources(spark, d, ".py", F.lit('r = APIRouter(prefix="/x")\napp.include_router(r, prefix="/v1")\n'))
-    return extract(f, mounts.mounts, mounts.MOUNTS).select("source_file", "kind", "router", "child", "prefix")
+    c, s, p = table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "part")
+    catalog = {k: store.empty(spark, k) for k in RELATIONS}
+    catalog["summaries"] = store.conform(s.select(F.concat(F.lit("m"), "s_suppkey").alias("module_id"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("purpose"), F.array(F.lit("a"), F.col("s_nationkey").cast("string")).alias("responsibilities"), F.array(F.lit("g")).alias("god_nodes")), "summaries")
+    catalog["concepts"] = store.conform(p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("rationale"), F.lit("x.md").alias("source_file")), "concepts")
+    catalog["symbols"] = store.conform(c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("(a) -> b").alias("signature"), F.concat("c_mktsegment", F.lit(".py")).alias("source_file"), F.concat(F.lit("L"), "c_nationkey").alias("source_location"), F.lit("One.\nTwo.").alias("docstring")), "symbols")
+    hit = lambda df, kind, letter, key, name: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(letter), key).alias("id"), F.col(name).alias("name"))
+    hits = hit(s, "module", "m", "s_suppkey", "s_name").unionByName(hit(p, "concept", "p", "p_partkey", "p_name")).unionByName(hit(c, "symbol", "c", "c_custkey", "c_name")).unionByName(hit(table(spark, d, "nation"), "service", "n", "n_nationkey", "n_name"))
+    return render.blocks(hits, catalog).select("id", "block")
 
 
-@query("""SELECT 'src/m' || p_partkey || '.py' AS source_file, alias, module, name FROM part, (VALUES ('os', 'os', NULL), ('b', 'src.a', 'b'), ('z', 'c.d', 'y')) x(alias, module, name)""")
-def py_imports(spark, d):
-    f = _sources(spark, d, ".py", F.lit("import os\nfrom .a import b\nfrom c.d import y as z\n"))
-    return extract(f, python_source.imports, python_source.IMPORTS).select("source_file", "alias", "module", "name")
+from . import sources  # noqa: E402,F401  registers the queries of the extractors

@@ -31,8 +31,8 @@ NODES = """v_nodes AS (
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s, o, l = (table(spark, sf_dir, t) for t in ("customer", "supplier", "orders", "lineitem"))  # noqa: E741
-    calls = o.join(l, o["o_orderkey"] == l["l_orderkey"]).select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), F.lit("calls").alias("relation")).distinct()
-    imports = l.select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.lit("imports").alias("relation")).distinct()
+    calls = o.join(l, o["o_orderkey"] == l["l_orderkey"]).select("o_custkey", "l_partkey").distinct().select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), F.lit("calls").alias("relation"))
+    imports = l.select("l_partkey", "l_suppkey").distinct().select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.lit("imports").alias("relation"))
     refs = c.select(F.concat(F.lit("c"), "c_custkey").alias("source_id"), F.concat(F.lit("n"), "c_nationkey").alias("target_id"), F.lit("references").alias("relation"))
     uses = s.select(F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.concat(F.lit("n"), "s_nationkey").alias("target_id"), F.lit("uses").alias("relation"))
     every = calls.unionByName(imports).unionByName(refs).unionByName(uses)
