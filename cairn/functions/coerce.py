@@ -74,11 +74,5 @@ def locate_line(sql: Column, name: Column) -> Column:
     return F.when(at > 0, F.concat(F.lit("L"), F.length(before) - F.length(F.translate(before, "\n", "")) + 1))
 
 
-def clean_comment(raw: Column) -> Column:
-    """A comment without its markers, line by line, blank lines dropped."""
-    lines = F.transform(F.split(raw, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^(/\*+|\*/|//+!?|\*+|#+|--)", ""), r"\*/$", "")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-
-
 def as_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns) if columns else F.struct("*"), {"ignoreNullFields": "false"})

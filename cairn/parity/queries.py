@@ -620,4 +620,4 @@ def render_blocks(spark, d):
     return render.blocks(hits, catalog).select("id", "block")
 
 
-from . import sources  # noqa: E402,F401  registers the queries of the extractors
+from . import more, sources  # noqa: E402,F401  they register their queries

@@ -252,12 +252,14 @@ def modules(c: store.Catalog, spark: SparkSession, config: Config) -> store.Cata
     rows = part.join(s.select("id", "label", "name", "kind", "source_file"), "id")
     real = rows.groupBy("module").agg(F.bool_or(~F.coalesce("kind", F.lit("")).isin(*paths.REFERENCE_KINDS)).alias("_d"), F.count("source_file").alias("_f")).where("_d OR _f > 0").select("module")
     rows = cut_lineage(rows.join(real, "module"))
-    m = rows.groupBy("module").agg(F.min("origin").alias("origin"), F.array_sort(F.collect_set("id")).alias("symbol_ids"), F.array_sort(F.collect_set("source_file")).alias("source_paths"), F.collect_set(F.when(F.coalesce("kind", F.lit("")).isin(*paths.REFERENCE_KINDS), F.col("label"))).alias("_imported"))
+    m = rows.groupBy("module").agg(F.min("origin").alias("origin"), F.array_sort(F.collect_set("id")).alias("symbol_ids"), F.array_sort(F.collect_set("source_file")).alias("source_paths"), F.collect_set(F.when(F.coalesce("kind", F.lit("")).isin(*paths.REFERENCE_KINDS), F.col("name"))).alias("_imported"))
     m = m.withColumn("community_id", F.nullif(F.regexp_extract("module", "^module::community::([^:]+)", 1), F.lit("")))
     groups = c["_communities"].select("community_id", F.col("label").alias("_label"), "cohesion")
     weak = F.col("_label").rlike(r"^[^\p{L}\p{N}]|/|(?i)^community\s+\S+$") | F.array_contains("_imported", F.col("_label"))
     m = m.join(groups, "community_id", "left").join(module_names(rows), "module", "left")
-    m = m.withColumn("name", F.when((F.col("origin") == "community") & F.col("_label").isNotNull() & ~weak, F.col("_label")).otherwise(F.col("name"))).withColumnRenamed("module", "id")
+    alone = F.trim(F.get("candidates", F.lit(0)))  # of a module with one symbol its public definition
+    own = F.when((F.col("origin") == "standalone") & (alone != "") & ~alone.startswith("_"), F.coalesce(F.nullif(paths.title_case(alone), F.lit("")), alone))
+    m = m.withColumn("name", F.when((F.col("origin") == "community") & F.col("_label").isNotNull() & ~weak, F.col("_label")).otherwise(F.coalesce(own, F.col("name")))).withColumnRenamed("module", "id")
     m = cut_lineage(windows.widen_names(cut_lineage(m.drop("_imported", "_label"))))
     owner = rows.groupBy("id").agg(F.max("module").alias("module"))
     related = joins.module_adjacency(c["relationships"], owner).groupBy(F.col("module").alias("id")).agg(joins.sorted_set(F.col("related")).alias("related_module_ids"))

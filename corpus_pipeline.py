@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Between stages the
 rows are written as Parquet and read again, so a lost executor costs a stage's tasks at most.
+
+Defined cases: null and blank texts fail the quality rules, so later stages don't see them. Rows with a null
+doc_id or source stay as their texts deserve; repeated rows and copies leave one row; very long texts are
+treated whole. An empty table gives empty results. Columns beside doc_id, text, source and n_chars pass
+through every stage but the last, whatever their names; packing returns its own columns.
 """
 
 from __future__ import annotations

@@ -66,7 +66,6 @@ def test_nearest_equals_all_pairs(spark):
         (routes.decorator_path, {'@r.get("/x", summary="y")': "/x", "r.post()": "/", '@r.get(summary="/y")': "/", "@cached": None}),
         (routes.return_type, {"(x) -> Optional[Foo]": "Foo", "() -> list[Foo | Bar]": "Foo", "()": None, "() -> 'Foo'": "Foo", "() -> None": None}),
         (coerce.visibility, {"__init__": "public", "__x": "private", "_x": "protected", "x": "public"}),
-        (coerce.clean_comment, {"/** A\n * b */": "A\nb", "// c": "c", "# d": "d"}),
     ],
 )
 def test_scalars(spark, f, cases):
