@@ -6,11 +6,14 @@ padding plus penalties come from dynamic programming over the possible ends. Pad
 start and end only through their difference, so the best start for each end is the smallest value of
 cost + position among the starts within reach, which a monotone queue gives in constant time.
 
-Each partition is packed for itself, in blocks, so memory is bounded; the open rest of a block starts the
-next one. A partition's last rest is cut into powers of two, which need no padding, where that is cheaper.
+Each range partition is packed for itself, in blocks of about BLOCK_IDS ids, so memory is bounded; the open
+rest of a block starts the next one. So cuts are the best ones within a block, and cuts and sequence numbers
+depend on the number of partitions and on the size of blocks; that every id lies in one piece doesn't. A
+partition's last rest is cut into powers of two, which need no padding, where that is cheaper.
 
 Defined cases: a null or empty text is its end id alone. Equal doc_ids and null doc_ids stand together,
-ordered by text; each row is a document of its own. An empty table gives no rows.
+ordered by text; each row is a document of its own. Texts of any length are encoded whole. An empty table
+gives no rows; columns that a caller adds are ignored.
 """
 
 from __future__ import annotations

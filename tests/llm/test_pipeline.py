@@ -100,3 +100,33 @@ def test_queries_equal_their_sql(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert sorted(df.columns) == sorted(names)
     assert sorted(tuple(plain(r[n]) for n in names) for r in df.collect()) == want
+
+
+ODD = "doc_id long, text string, source string, n_chars long, _x_words string, n_words string, _kept string, copies string, part string, root string"
+
+
+def odd_rows():
+    prose = [" ".join(f"w{chr(97 + (i * 7 + k * 5) % 26)}{chr(97 + (i * i + k) % 26)}" for i in range(90)) + "." for k in range(8)]
+    texts = [None, "", " \n ", "short", *prose, prose[0], prose[0] + " more", prose[1], "\n".join(prose * 40), "a " * 9000]
+    rows = [(i if i % 5 else None, t, None if i % 4 == 0 else f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return [(*r, *["mine"] * 6) for r in [*rows, rows[6], rows[6]]]
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, cut(stage(spark, docs, SMALL), f"odd-{k}")
+        if k < 4:
+            assert docs.columns == before.columns
+            assert {tuple(r[4:]) for r in docs.collect()} <= {("mine",) * 6} and docs.count() > 0
+        if k == 2:
+            texts = [r["text"] for r in docs.collect()]
+            assert len(texts) == len(set(texts))
+    assert docs.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], ODD)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = cut(stage(spark, docs, SMALL), f"none-{k}")
+        assert docs.count() == 0
