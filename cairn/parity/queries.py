@@ -285,15 +285,14 @@ def prefix_name_join(spark, d):
     return joins.prefix_join(ops, names, "op", "name").select("op", "name")
 
 
-@query("""WITH o AS (SELECT DISTINCT p_name AS op, string_split(p_name, ' ') AS wanted FROM part), s AS (SELECT DISTINCT p_brand AS file, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS tokens FROM part),
-x AS (SELECT DISTINCT op, file, len(list_intersect(list_distinct(wanted), tokens))::INTEGER AS score FROM o, s), y AS (SELECT *, max(score) OVER (PARTITION BY op) AS top FROM x WHERE score > 0)
+@query("""WITH w AS (SELECT DISTINCT p_name || ' ' || p_brand AS op, p_brand || '/' || p_type AS file, list_append(string_split(p_name, ' '), p_brand) AS words FROM part),
+x AS (SELECT DISTINCT o.op, f.file, len(list_intersect(o.words, f.words))::INTEGER AS score FROM (SELECT DISTINCT op, words FROM w) o, w f), y AS (SELECT *, max(score) OVER (PARTITION BY op) AS top FROM x WHERE score > 0)
 SELECT op, min(file) AS file, max(score) AS score FROM y WHERE score = top GROUP BY op HAVING count(*) = 1""")
 def path_affinity_tiebreak(spark, d):
-    p = table(spark, d, "part")
-    ops = p.select(F.col("p_name").alias("op"), F.split("p_name", " ").alias("wanted")).distinct()
-    owners = p.select(F.col("p_brand").alias("file"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens")).distinct()
+    words = F.concat(F.split("p_name", " "), F.array("p_brand"))
+    p = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("op"), F.concat_ws("/", "p_brand", "p_type").alias("file"), words.alias("wanted"), words.alias("tokens")).distinct()
     # Candidates share a word; the pairing is an equality join on words.
-    pairs = ops.withColumn("w", F.explode("wanted")).join(owners.withColumn("w", F.explode("tokens")), "w").drop("w").distinct()
+    pairs = p.select("op", "wanted").distinct().withColumn("w", F.explode("wanted")).join(p.select("file", "tokens").withColumn("w", F.explode("tokens")), "w").drop("w").distinct()
     return joins.best_affinity(pairs, "op", "file", "wanted", "tokens").select("op", "file", "score")
 
 
