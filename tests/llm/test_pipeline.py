@@ -106,7 +106,7 @@ ODD = "doc_id long, text string, source string, n_chars long, _x_words string, n
 
 
 def odd_rows():
-    prose = [" ".join(f"w{chr(97 + (i * 7 + k * 5) % 26)}{chr(97 + (i * i + k) % 26)}" for i in range(90)) + "." for k in range(8)]
+    prose = [" ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k)}" for i in range(90)) + "." for k in range(8)]
     texts = [None, "", " \n ", "short", *prose, prose[0], prose[0] + " more", prose[1], "\n".join(prose * 40), "a " * 9000]
     rows = [(i if i % 5 else None, t, None if i % 4 == 0 else f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
     return [(*r, *["mine"] * 6) for r in [*rows, rows[6], rows[6]]]
