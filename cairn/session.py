@@ -55,8 +55,13 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir (a temporary one on a local master where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(scratch_folder(df.sparkSession))
-    return df.checkpoint()
+    """df, written as Parquet to the folder that the cluster names in spark.checkpoint.dir (a temporary one on a local master where it is unset).
+
+    A checkpoint would compute df twice; a written table does it once, and recovers from lost executors alike.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/cairn/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
