@@ -15,6 +15,7 @@ from cairn.schemas import SCHEMA_VERSION
 from cairn.search import hybrid, index, render
 from cairn.operators.graph import adjacency
 from cairn.search.tokens import count_tokens, tokenizer_name
+from cairn.session import cut_lineage
 from cairn.sources.files import repo_files
 
 COVERED = ["start_line", "end_line", "signature", "docstring", "qualified_name", "visibility"]
@@ -136,7 +137,8 @@ class KnowledgeBase:
     def context(self, question: str, limit: int = 8, kinds: Sequence[str] | None = None) -> dict:
         hits = self.query(question, limit, kinds)
         late = F.when(F.col("kind") == "db_migration", 2).otherwise(1)
-        # At most limit rows: the window over them is one small partition.
+        # At most limit rows, written once as each kind looks its own up: the window over them is one small partition.
+        hits = cut_lineage(hits)
         ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "is_test", late, "kind", "name", "id")))
         row = render.context_text(question, render.blocks(ranked, self.catalog)).withColumn("tokens", count_tokens(F.col("text"))).first()
         return {"text": row["text"] or f"# Question: {question}", "tokens": row["tokens"] or 0, "tokenizer": tokenizer_name()}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn import catalog as store
 from cairn.functions import coerce, paths, routes, text
-from cairn.operators import aggs, checks, joins, windows
+from cairn.operators import aggs, checks, graph, joins, windows
 from cairn.plans import registry
-from cairn.search import hybrid, tokens
+from cairn.schemas import RELATIONS
+from cairn.search import hybrid, index, render, tokens
+from cairn.session import cut_lineage
 from cairn.sources import files
 
 from .queries import joined, query
@@ -190,3 +193,67 @@ def node_seeds(spark, d):
     n = nodes(spark, d)
     symbols = n.where("kind = 'class'").select("id", F.lit("Building").alias("name"), F.col("id").alias("qualified_name"), F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("string").alias("signature"))
     return hybrid.seeds(hybrid.node_tokens(n, symbols), QUESTION).select("id", F.round("score", 6).alias("score"))
+
+
+# The catalog and what is retrieved from it.
+
+
+def _catalog(spark, d):
+    """A catalog of suppliers as modules, parts as concepts and nodes as symbols; all else is empty."""
+    p, s, n = _part(spark, d), table(spark, d, "supplier"), nodes(spark, d)
+    c = {k: store.empty(spark, k) for k in RELATIONS}
+    c["modules"] = store.conform(s.select(F.concat(F.lit("m"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.lit("src/m.py")).alias("source_paths")), "modules")
+    c["summaries"] = store.conform(s.where("s_acctbal > 0").select(F.concat(F.lit("m"), "s_suppkey").alias("module_id"), F.lit("Handles rings").alias("purpose"), F.array(F.lit("keeping"), F.lit("bolts")).alias("responsibilities")), "summaries")
+    c["concepts"] = store.conform(p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("rationale")), "concepts")
+    c["symbols"] = store.conform(n.select("id", "label", F.when(F.col("kind") == "class", "").otherwise(F.col("label")).alias("name"), F.when(F.col("file_type") == "document", "file").otherwise(F.col("kind")).alias("kind"), "source_file", F.lit("(a ring)").alias("signature")), "symbols")
+    return c
+
+
+CATALOG = f"""{NODES}, x AS (
+  SELECT 'module' AS kind, 'm' || s_suppkey AS id, s_name AS name, concat_ws(' ', s_name, CASE WHEN s_acctbal > 0 THEN 'Handles rings keeping bolts' END) AS body, 'src/m.py ' || s_name AS place FROM supplier
+  UNION ALL SELECT 'concept', 'p' || p_partkey, p_name, concat_ws(' ', p_name, CASE WHEN p_size > 25 THEN p_type END), p_name FROM part
+  UNION ALL SELECT 'symbol', id, label, concat_ws(' ', label, '(a ring)'), concat_ws(' ', source_file, label) FROM v_nodes WHERE file_type <> 'document'),
+  ix AS (SELECT kind, id, name, {text.token_set_sql("coalesce(name, '')")} AS nt, {text.token_set_sql('body')} AS bt, {text.is_test_sql('place')} AS is_test FROM x)"""
+
+
+@query(f"WITH {CATALOG} SELECT kind, id, array_to_string(list_sort(nt), '|') AS named, array_to_string(list_sort(bt), '|') AS body, is_test FROM ix")
+def catalog_index(spark, d):
+    return index.build_index(_catalog(spark, d)).select("kind", "id", joined(F.array_sort("name_tokens")).alias("named"), joined(F.array_sort("body_tokens")).alias("body"), "is_test")
+
+
+ASKED = "which modules are keeping rings"
+
+
+@query(f"""WITH {CATALOG}, s AS (SELECT *, list_sum(list_transform({text.question_stems_sql(ASKED)}, lambda q: CASE WHEN list_contains(nt, q) THEN 2 WHEN list_contains(bt, q) THEN 1 ELSE 0 END)) * CASE WHEN is_test THEN 0.4 ELSE 1.0 END AS score FROM ix),
+b AS (SELECT *, row_number() OVER (ORDER BY score DESC, is_test, kind, name, id) AS r FROM s WHERE score > 0 QUALIFY r <= 8)
+SELECT '# Question: {ASKED}' || chr(10) || chr(10) || '## Relevant repository knowledge' || chr(10) || chr(10) || string_agg('### ' || upper(left(kind, 1)) || substr(kind, 2) || ': ' || b.name
+  || CASE WHEN kind = 'module' THEN CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE 'm' || s_suppkey = b.id AND s_acctbal > 0) THEN chr(10) || '- Purpose: Handles rings' || chr(10) || '- Responsibilities: keeping, bolts' ELSE '' END
+     WHEN kind = 'concept' THEN coalesce((SELECT chr(10) || '- Rationale: ' || p_type FROM part WHERE 'p' || p_partkey = b.id AND p_size > 25), '')
+     ELSE chr(10) || '- Signature: (a ring)' || (SELECT coalesce(chr(10) || '- Location: ' || source_file, '') FROM v_nodes v WHERE v.id = b.id) END, chr(10) || chr(10) ORDER BY r) AS text FROM b""")
+def context_document(spark, d):
+    c = _catalog(spark, d)
+    hits = cut_lineage(index.ranked(index.build_index(c), ASKED, 8))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "is_test", "kind", "name", "id")))  # eight rows
+    return render.context_text(ASKED, render.blocks(ranked, c))
+
+
+@query("""SELECT 's' || p_partkey || '/' || f AS id, 'f' || p_partkey AS source_file, f AS start, CASE WHEN f = 1 THEN 3 ELSE 5 + p_size % 2 END AS end, CASE WHEN f = 1 THEN 'def a():' || chr(10) || '    ' || p_name || chr(10) || '' ELSE 'def b():' || chr(10) || '    pass' || CASE WHEN p_size % 2 = 1 THEN chr(10) || 'x = 1' ELSE '' END END AS code
+FROM part, (VALUES (1), (4)) v(f)""")
+def code_slices(spark, d):
+    p = _part(spark, d).withColumn("f", F.explode(F.array(F.lit(1), F.lit(4))))
+    file = F.concat(F.lit("f"), "p_partkey")
+    symbols = p.select(F.concat(F.lit("s"), "p_partkey", F.lit("/"), "f").alias("id"), file.alias("source_file"), F.concat(F.lit("L"), "f").alias("source_location"), F.col("f").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit("function").alias("kind"))
+    body = F.concat(F.lit("def a():\n    "), "p_name", F.lit("\n\ndef b():\n    pass\n"), F.when(F.col("p_size") % 2 == 1, "x = 1\n").otherwise(""))
+    return hybrid.slices(symbols, symbols, _part(spark, d).select(file.alias("path"), body.alias("text"))).select("id", "source_file", "start", "end", "code")
+
+
+@query(f"""WITH {NODES}, {EDGES}, x AS (SELECT id, source_file, kind, {text.token_set_sql("concat_ws(' ', label, source_file)")} AS t, {text.is_test_sql("concat_ws(' ', source_file, label)")} AS is_test FROM v_nodes),
+seed AS (SELECT id, len(list_intersect(t, {text.question_stems_sql(QUESTION)})) * CASE WHEN is_test THEN 0.4 ELSE 1.0 END AS score FROM x WHERE len(list_intersect(t, {text.question_stems_sql(QUESTION)})) > 0),
+adj AS (SELECT source_id AS a, target_id AS b FROM v_edges UNION SELECT target_id, source_id FROM v_edges), f0 AS (SELECT id, score FROM seed ORDER BY score DESC, id LIMIT 40),
+tot AS (SELECT id, sum(s) AS score FROM (SELECT id, score AS s FROM seed UNION ALL SELECT b, sum(score * 0.5) FROM f0 JOIN adj ON id = a WHERE score * 0.5 >= 0.15 GROUP BY b) GROUP BY id)
+SELECT id, round(score, 6)::DOUBLE AS score FROM tot JOIN x USING (id) WHERE coalesce(source_file, '') <> '' AND coalesce(kind, '') NOT IN ('file', 'module', 'import', 'variable') ORDER BY tot.score DESC, id LIMIT 40""")
+def retrieve_symbols(spark, d):
+    n = nodes(spark, d)
+    no = lambda c: F.lit(None).cast("string").alias(c)
+    symbols = n.select("id", "kind", "source_file", F.lit("L1").alias("source_location"), no("name"), no("qualified_name"), no("docstring"), no("signature"))
+    return hybrid.retrieve(hybrid.node_tokens(n, symbols), graph.both_ways(edges(spark, d)), symbols, QUESTION).select("id", F.round("score", 6).alias("score"))

@@ -81,16 +81,16 @@ def score_all_documents(spark, d):
 def _union_index(spark, d):
     t = lambda n: table(spark, d, n)
     parts = [
-        index.searchable(t("part"), "part", "p_partkey", F.col("p_name"), [F.col("p_type"), F.col("p_brand")]),
-        index.searchable(t("customer"), "customer", "c_custkey", F.col("c_name"), [F.col("c_mktsegment")]),
-        index.searchable(t("supplier"), "supplier", "s_suppkey", F.col("s_name")),
-        index.searchable(t("nation"), "nation", "n_nationkey", F.col("n_name")),
-        index.searchable(t("pages"), "page", "page_id", F.col("url"), origin=F.col("url")),
+        index.entities(t("part"), "part", "p_partkey", F.col("p_name"), [F.col("p_type"), F.col("p_brand")]),
+        index.entities(t("customer"), "customer", "c_custkey", F.col("c_name"), [F.col("c_mktsegment")]),
+        index.entities(t("supplier"), "supplier", "s_suppkey", F.col("s_name")),
+        index.entities(t("nation"), "nation", "n_nationkey", F.col("n_name")),
+        index.entities(t("pages"), "page", "page_id", F.col("url"), origin=F.col("url")),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return index.tokenized(out)
 
 
 UNION = f"""u AS (

@@ -15,12 +15,19 @@ TEST_PENALTY = 0.4
 DATABASE_KINDS = ("db_technology", "db_table", "db_migration")
 
 
+def entities(rows: DataFrame, kind: str, id_: str, name: Column, body: Sequence[Column] = (), origin: Column | None = None) -> DataFrame:
+    """rows as (kind, id, name, body, place): the body holds the name too, the place says whether it is a test."""
+    return rows.select(F.lit(kind).alias("kind"), F.col(id_).cast("string").alias("id"), name.alias("name"), F.concat_ws(" ", name, *body).alias("body"), F.concat_ws(" ", origin if origin is not None else F.lit(""), name).alias("place"))
+
+
+def tokenized(found: DataFrame) -> DataFrame:
+    """entities with the stems of their names and bodies; over the union of all kinds, so that stems are planned once."""
+    return found.select("kind", "id", "name", token_set(F.coalesce("name", F.lit(""))).alias("name_tokens"), token_set(F.col("body")).alias("body_tokens"), is_test(F.col("place")).alias("is_test"))
+
+
 def searchable(rows: DataFrame, kind: str, id_: str, name: Column, body: Sequence[Column] = (), origin: Column | None = None) -> DataFrame:
-    """rows as (kind, id, name, name_tokens, body_tokens, is_test); the body holds the name too."""
-    empty = F.lit("")
-    whole = F.concat_ws(" ", name, *body)
-    place = F.concat_ws(" ", origin if origin is not None else empty, name)
-    return rows.select(F.lit(kind).alias("kind"), F.col(id_).cast("string").alias("id"), name.alias("name"), token_set(F.coalesce(name, empty)).alias("name_tokens"), token_set(whole).alias("body_tokens"), is_test(place).alias("is_test"))
+    """rows as (kind, id, name, name_tokens, body_tokens, is_test)."""
+    return tokenized(entities(rows, kind, id_, name, body, origin))
 
 
 def build_index(catalog: dict[str, DataFrame]) -> DataFrame:
@@ -30,19 +37,19 @@ def build_index(catalog: dict[str, DataFrame]) -> DataFrame:
     modules = c["modules"].join(summary, F.col("id") == F.col("_m"), "left")
     columns = F.transform("columns", lambda x: x["name"])
     parts = [
-        searchable(modules, "module", "id", F.col("name"), [F.col(x) for x in ("purpose", "responsibilities", "_concepts", "_workflows", "public_apis")], F.concat_ws(" ", "source_paths")),
-        *[searchable(c[f"{k}s"], k, "id", F.col("name")) for k in ("service", "controller", "workflow")],
-        searchable(c["apis"], "api", "id", F.col("name"), [F.col("method"), F.col("path")]),
-        searchable(c["concepts"], "concept", "id", F.col("label"), [F.col("rationale")]),
-        searchable(c["symbols"].where(~F.coalesce("kind", F.lit("")).isin(*NON_COMPONENT_KINDS)), "symbol", "id", F.coalesce(F.nullif("name", F.lit("")), "label"), [F.col(x) for x in ("qualified_name", "signature", "docstring")], F.col("source_file")),
-        searchable(c["db_tables"], "db_table", "id", F.col("name"), [F.col("technology"), columns]),
-        searchable(c["db_migrations"], "db_migration", "id", F.col("name"), [F.col("technology"), F.col("operations")]),
-        searchable(c["db_technologies"], "db_technology", "id", F.col("name"), [F.col("category")]),
+        entities(modules, "module", "id", F.col("name"), [F.col(x) for x in ("purpose", "responsibilities", "_concepts", "_workflows", "public_apis")], F.concat_ws(" ", "source_paths")),
+        *[entities(c[f"{k}s"], k, "id", F.col("name")) for k in ("service", "controller", "workflow")],
+        entities(c["apis"], "api", "id", F.col("name"), [F.col("method"), F.col("path")]),
+        entities(c["concepts"], "concept", "id", F.col("label"), [F.col("rationale")]),
+        entities(c["symbols"].where(~F.coalesce("kind", F.lit("")).isin(*NON_COMPONENT_KINDS)), "symbol", "id", F.coalesce(F.nullif("name", F.lit("")), "label"), [F.col(x) for x in ("qualified_name", "signature", "docstring")], F.col("source_file")),
+        entities(c["db_tables"], "db_table", "id", F.col("name"), [F.col("technology"), columns]),
+        entities(c["db_migrations"], "db_migration", "id", F.col("name"), [F.col("technology"), F.col("operations")]),
+        entities(c["db_technologies"], "db_technology", "id", F.col("name"), [F.col("category")]),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return tokenized(out)
 
 
 def inverted(index: DataFrame) -> DataFrame:
