@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import coerce
@@ -13,7 +13,8 @@ from cairn.session import scratch_folder
 NODE = "struct<id:string,label:string,file_type:string,source_file:string,source_location:string,source_url:string,captured_at:string,author:string,contributor:string,rationale:string,community:string,community_id:string>"
 EDGE = "struct<source:string,target:string,relation:string,confidence:string,confidence_score:string,weight:string,source_file:string>"
 HYPER = "struct<id:string,label:string,relation:string,nodes:array<string>,members:array<string>,confidence:string,confidence_score:string,source_file:string>"
-GRAPH = f"directed boolean, multigraph boolean, nodes array<{NODE}>, links array<{EDGE}>, edges array<{EDGE}>, hyperedges array<{HYPER}>, graph struct<hyperedges:array<{HYPER}>>"
+#: Items stay JSON text while the document is read, so an item of another kind spoils no other.
+GRAPH = "directed boolean, multigraph boolean, nodes array<string>, links array<string>, edges array<string>, hyperedges array<string>, graph struct<hyperedges:array<string>>"
 ANALYSIS = "communities map<string,array<string>>, cohesion map<string,double>, gods array<string>, god_nodes array<string>, surprises array<string>, questions array<string>"
 
 # What the names of the sidecars end in.
@@ -25,10 +26,16 @@ class LoadError(Exception):
 
 
 def read_graph(spark: SparkSession, folder: str, name: str = "graph.json") -> DataFrame:
-    """The whole graph as one row; a file that is no JSON object is an error."""
+    """The graph as one row of items; a file that is no JSON object is an error."""
     return spark.read.schema(GRAPH).option("multiLine", True).option("mode", "FAILFAST").json(f"{folder}/{name}")
 
 
+def _items(graph: DataFrame, column: Column, kind: str) -> DataFrame:
+    """ord and the fields of each item of an array of JSON texts, parsed in parallel; items that are no objects have no fields."""
+    rows = graph.select(F.posexplode(F.coalesce(column, F.array().cast("array<string>"))).alias("ord", "raw"))
+    return rows.repartition("ord").select("ord", F.from_json("raw", kind).alias("x")).select("ord", "x.*")
+
+
 def _sidecar(spark: SparkSession, folder: str, ending: str, ddl: str) -> DataFrame:
     """The one row of the folder's file whose name ends so, or a row of nulls where there is none.
 
@@ -54,7 +61,7 @@ def ddl_names(ddl: str) -> list[str]:
 
 def nodes(graph: DataFrame, community_of: DataFrame | None = None) -> DataFrame:
     """graph_nodes rows: the label defaults to the id, empty text is null, the community is the node's own or the sidecar's."""
-    n = graph.select(F.posexplode(F.coalesce("nodes", F.array().cast(f"array<{NODE}>"))).alias("ord", "n")).select("ord", "n.*").where("coalesce(id, '') <> ''")
+    n = _items(graph, F.col("nodes"), NODE).where("coalesce(id, '') <> ''")
     keep = ["source_file", "source_location", "source_url", "captured_at", "author", "contributor", "rationale"]
     out = n.select("ord", "id", F.coalesce(coerce.opt(F.col("label")), "id").alias("label"), coerce.file_type(F.col("file_type")).alias("file_type"), *[coerce.opt(F.col(c)).alias(c) for c in keep], coerce.first_text(F.col("community"), F.col("community_id")).alias("community_id"))
     if community_of is not None:
@@ -65,7 +72,7 @@ def nodes(graph: DataFrame, community_of: DataFrame | None = None) -> DataFrame:
 
 def edges(graph: DataFrame) -> DataFrame:
     """relationships rows: links, else edges; rows without source, target or relation are left out; the first of an id stays."""
-    e = graph.select(F.posexplode(F.coalesce("links", "edges", F.array().cast(f"array<{EDGE}>"))).alias("ord", "e")).select("ord", "e.*")
+    e = _items(graph, F.coalesce("links", "edges"), EDGE)
     e = e.where("coalesce(source, '') <> '' AND coalesce(target, '') <> '' AND coalesce(relation, '') <> ''")
     rows = e.select(
         coerce.edge_id(F.col("source"), F.col("relation"), F.col("target")).alias("id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), "relation", coerce.confidence(F.col("confidence")).alias("confidence"),
@@ -77,7 +84,8 @@ def edges(graph: DataFrame) -> DataFrame:
 
 def hyperedges(graph: DataFrame) -> DataFrame:
     """workflow rows: hyperedges with members; an id that is missing is hyperedge_ and the number among those kept."""
-    some = F.filter(F.coalesce("graph.hyperedges", "hyperedges", F.array().cast(f"array<{HYPER}>")), lambda h: F.size(F.coalesce(h["nodes"], h["members"])) > 0)
+    read = F.transform(F.coalesce("graph.hyperedges", "hyperedges", F.array().cast("array<string>")), lambda h: F.from_json(h, HYPER))
+    some = F.filter(read, lambda h: F.size(F.coalesce(h["nodes"], h["members"])) > 0)
     kept = graph.select(F.posexplode(some).alias("_n", "h")).select("_n", "h.*").withColumn("participant_ids", F.coalesce("nodes", "members"))
     ident = F.coalesce(coerce.opt(F.col("id")), F.concat(F.lit("hyperedge_"), "_n"))
     return kept.select(ident.alias("id"), F.coalesce(coerce.opt(F.col("label")), ident).alias("name"), "participant_ids", coerce.hyperedge_relation(F.col("relation")).alias("relation"), coerce.confidence(F.col("confidence")).alias("confidence"), coerce.number_or(F.col("confidence_score"), None).alias("confidence_score"), coerce.opt(F.col("source_file")).alias("source_file"))

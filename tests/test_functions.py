@@ -142,14 +142,14 @@ def test_graph_files(spark, tmp_path):
     import json
 
     graph = {
-        "nodes": [{"id": "a", "label": "", "community": 1}, {"id": "b", "file_type": "concept", "source_file": "x.py"}, {"label": "no id"}],
-        "links": [{"source": "a", "target": "b", "relation": "uses", "weight": "n/a", "confidence": "odd"}, {"source": "a", "relation": "uses"}, {"source": "a", "target": "b", "relation": "uses"}],
+        "nodes": [{"id": "a", "label": "", "community": 1}, {"id": "b", "file_type": "concept", "source_file": "x.py"}, {"label": "no id"}, "odd", {"id": 4, "label": ["x"]}],
+        "links": [{"source": "a", "target": "b", "relation": "uses", "weight": "n/a", "confidence": "odd"}, {"source": "a", "relation": "uses"}, {"source": "a", "target": "b", "relation": "uses"}, 7, ["x"], None],
         "graph": {"hyperedges": [{"nodes": []}, {"nodes": ["a", "b"]}, {"id": "h", "members": ["b"], "relation": "form"}]},
     }
     (tmp_path / "graph.json").write_text(json.dumps(graph))
     g = graph_json.read_graph(spark, str(tmp_path))
     n = graph_json.nodes(g)
-    assert {(r["id"], r["label"], r["file_type"], r["community_id"]) for r in n.collect()} == {("a", "a", "code", "1"), ("b", "b", "concept", None)}
+    assert {(r["id"], r["label"], r["file_type"], r["community_id"]) for r in n.collect()} == {("a", "a", "code", "1"), ("b", "b", "concept", None), ("4", '["x"]', "code", None)}
     e = graph_json.edges(g).collect()
     assert [(r["id"], r["weight"], r["confidence"]) for r in e] == [("a--uses-->b", 1.0, "EXTRACTED")]
     assert [(r["id"], r["relation"]) for r in graph_json.hyperedges(g).orderBy("id").collect()] == [("h", "form"), ("hyperedge_0", "participate_in")]
