@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from cairn.llm import bagminhash, extraction, line_dedup, mixing, ogg, packing, quality, token_store, url_filters, warc
+from cairn.llm import bagminhash, encoding, extraction, line_dedup, mixing, ogg, packing, quality, token_store, url_filters, warc
 from cairn.llm.common import fresh_path, shared_folder, thinned
-from cairn.llm.encoding import encoder
+from cairn.llm.encoding import Encoder, encoder
 from cairn.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, source string"
@@ -289,6 +290,36 @@ def test_encoder_equals_the_tokenizer(text):
         assert ids[ends[2] : ends[3]].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids and ends[1] == ends[2]
 
 
+@pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_plain_pieces_are_cut_together(name, keeps, monkeypatch):
+    e = Encoder(tokenizer_file(name), keeps)
+    monkeypatch.setattr(e, "_split", lambda piece, lead: pytest.fail(f"{piece!r} was cut alone"))
+    text = "Straße Été. ÜBER,*** word$$$ AB12cd +1 (604) 555-8469 a.\nDer x_y!? 12\n34 ÀÞ"
+    ids, ends = e.encode(pa.array([text, text]))
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and ends.tolist() == [0, len(want), 2 * len(want)]
+
+
+@pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_the_tokenizer_on_odd_characters(name, keeps, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 500)
+    marks = [*"aBzéÉÀßŸİıſǅȺȿ×÷ªµ1²½'<|>.,!?-_\n\t\r\x1c\x85\u0301\u00a0中ب🙂#$\x00\x7f  ", "'t", "<|endoftext|>", " Word", "Über ", "12"]
+    texts = ["".join(marks[(i * i * 31 + i * k * k * 17 + k) % len(marks)] for k in range(i % 13)) for i in range(4000)]
+    e = Encoder(tokenizer_file(name), keeps)
+    for some in (texts[:2000], texts[2000:]):
+        ids, ends = e.encode(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
+def test_tokenizer_that_keeps_marks_with_words(tmp_path):
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    t = Tokenizer(models.BPE(vocab={x: i for i, x in enumerate([*letters, "d,"])}, merges=[("d", ",")]))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.save(str(tmp_path / "t.json"))
+    ids, _ = Encoder(str(tmp_path / "t.json"), False).encode(pa.array(["a word, and"]))
+    assert ids.tolist() == t.encode("a word, and", add_special_tokens=False).ids and 256 in ids
+
+
 def test_ogg_round_trip_and_damage(docs, none):
     for text in (None, "", "a" * 192, "é" * 70000, "b" * 65025):
         raw = (text or "").encode()
